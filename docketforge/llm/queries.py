@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, tokenize
+from . import neardup, packing, splitting, tokenize
 
 
 def queries() -> dict:
     return {
+        "p2_found": splitting.p2_found,
+        "p2_pieces": splitting.p2_pieces,
+        "p3_found": neardup.p3_found,
+        "p3_groups": neardup.p3_groups,
         "p7_ids": tokenize.p7_ids,
         "p7_token_stats": tokenize.p7_token_stats,
         "p8_packed": packing.p8_packed,
@@ -15,4 +19,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": """
+            SELECT p.provider, d.doc_id FROM prompt_configs p JOIN documents d ON strlen(d.text) > p.max_text_length
+        """,
+    }
