@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, splitting, tokenize
+from . import mapping, neardup, packing, personal, splitting, tokenize
 
 
 def queries() -> dict:
     return {
+        "p1_found": mapping.p1_found,
+        "p1_unmatched": mapping.p1_unmatched,
         "p2_found": splitting.p2_found,
         "p2_pieces": splitting.p2_pieces,
         "p3_found": neardup.p3_found,
         "p3_groups": neardup.p3_groups,
+        "p4_found": personal.p4_found,
+        "p4_masked": personal.p4_masked,
         "p7_ids": tokenize.p7_ids,
         "p7_token_stats": tokenize.p7_token_stats,
         "p8_packed": packing.p8_packed,
