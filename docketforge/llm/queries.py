@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mapping, neardup, packing, personal, splitting, tokenize
+from . import mapping, neardup, packing, personal, scans, splitting, tokenize
 
 
 def queries() -> dict:
@@ -15,6 +15,9 @@ def queries() -> dict:
         "p3_groups": neardup.p3_groups,
         "p4_found": personal.p4_found,
         "p4_masked": personal.p4_masked,
+        "p6_found": scans.p6_found,
+        "p6_repaired": scans.p6_repaired,
+        "p6_forms": scans.p6_forms,
         "p7_ids": tokenize.p7_ids,
         "p7_token_stats": tokenize.p7_token_stats,
         "p8_packed": packing.p8_packed,
