@@ -40,6 +40,10 @@ _DIGITS = re.compile(r"\d+")
 #: How the number of a page stands alone on its line.
 PAGE_SURE = re.compile(r"(?:p\.|page|pág\.|página|seite|s\.) ?\d{1,4}(?: ?(?:of|de|von|sur|/) ?\d{1,4})?|- ?\d{1,4} ?-|– ?\d{1,4} ?–|\d{1,3}/\d{1,3}|\[\d{1,4}\]|· ?\d{1,4} ?·", re.I)
 PAGE_BARE = re.compile(r"\d{1,3}|[ivxl]{1,7}")
+#: Words that run on in a sentence and hardly stand in a heading.
+_RUNNING_WORD = re.compile(r"(?<![^\s])[a-zà-ÿ][^\W_]{3,}")
+#: What sets a running header off from other repeated headings.
+_HEADING_MARK = re.compile(r" [—|] |\((?:continued|CONTINUED|cont\.)\)|^Case .*\d|^CASE .*\d")
 _AT_END = re.compile(r"\S {2,}(\d{1,3}|[ivxl]{1,7})$")
 _ENDS = (".", "!", "?", ":", ";", "”", '"', ")", "]")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50}
@@ -159,7 +163,8 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
         if 6 <= len(b) <= 110 and i not in sure:
             key = b.lower()
             key = _AT_END.sub(lambda m: m.group()[0], key)
-            masked.setdefault(_DIGITS.sub("#", key), []).append(i)
+            # misread glyphs in a header do not make it another one
+            masked.setdefault(_DIGITS.sub("#", skeleton(key)), []).append(i)
     # the numbers of pages without a word rise by one from page to page
     numbers = [(i, _number(bare[i].lower())) for i in maybe]
     rising = set()
@@ -183,15 +188,16 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
         return (before is not None and not bare[before].endswith(_ENDS)) and (after is not None and bare[after][:1].islower())
 
     headers: set[int] = set()
-    for key, places in masked.items():
-        if len(places) < 2 or ("#" not in key and not any(c.isalpha() for c in key)):
+    for places in masked.values():
+        line = bare[places[0]]
+        if len(places) < 2 or "\t" in line or not any(c.isalpha() for c in line) or len(_RUNNING_WORD.findall(line)) > 1:
             continue
-        ended = sum(bare[i].endswith((".", ",", ";")) for i in places)
-        if ended and "#" in key or ended == len(places) and not key.endswith(("ltd.", "co.", "corp.", "inc.")):
+        numbered = any(c.isdigit() for c in line)
+        if line.endswith(("”", ";", ",")) or line.endswith(".") and (numbered or not line.lower().endswith(("ltd.", "co.", "corp.", "inc."))):
             continue
-        if key.count("\t") or not any(c.isalpha() for c in key):
-            continue
-        if any(breaks_in(i) for i in places):
+        # a heading with a number or a mark of its own; any other repeated line only where it breaks into the text
+        own = _HEADING_MARK.search(line) and line[:1].isupper() and (numbered or line.isupper())
+        if own or any(breaks_in(i) for i in places):
             headers |= set(places)
     for i in headers:
         if _AT_END.search(bare[i]):
