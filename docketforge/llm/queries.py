@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mapping, neardup, packing, personal, scans, splitting, tokenize
+from . import mapping, neardup, packing, personal, residue, scans, splitting, tokenize
 
 
 def queries() -> dict:
@@ -22,6 +22,8 @@ def queries() -> dict:
         "p7_token_stats": tokenize.p7_token_stats,
         "p8_packed": packing.p8_packed,
         "p8_fill": packing.p8_fill,
+        "p9_found": residue.p9_found,
+        "p9_kept": residue.p9_kept,
     }
 
 
