@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mapping, neardup, packing, personal, residue, scans, splitting, tokenize
+from . import mapping, names, neardup, packing, personal, residue, scans, splitting, tokenize
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "p3_groups": neardup.p3_groups,
         "p4_found": personal.p4_found,
         "p4_masked": personal.p4_masked,
+        "p5_found": names.p5_found,
+        "p5_entities": names.p5_entities,
         "p6_found": scans.p6_found,
         "p6_repaired": scans.p6_repaired,
         "p6_forms": scans.p6_forms,

@@ -44,7 +44,7 @@ NOTICE_PHRASES = (
     "seite nicht gefunden", "zugriff verweigert", "acceso denegado", "accès refusé", "délai d'attente dépassé", "zeitüberschreitung", "tiempo de espera agotado", "you must log in to view this filing.",
     "your address was blocked after too many lookups.", "please try again later or contact the filing desk.", "inténtelo de nuevo más tarde.", "veuillez réessayer plus tard.",
     "bitte versuchen sie es später erneut.", "return to home page", "request id 1c6e3f", "reference #a68e92ba6", "incident cc5fd311c", "ref 925fe81b6b2af9", "token 4e1e12537d9 is no longer valid.",
-    "retry in 54 s", "caused by: connection reset after 100 ms", "at viewer.render(line 511)", "exception in thread pool-580: null", "traceback (most recent call last)", "<h1>err 513", "oops! code 597", "fehler 450", "erreur 415", "erro 500", "sorry.", "<h1>", "<noscript>", "noscript: content unavailable without client-side scripting",
+    "retry in 54 s", "caused by: connection reset after 100 ms", "at viewer.render(line 511)", "exception in thread pool-580: null", "traceback (most recent call last)", "<h1>err 513", "oops! code 597", "fehler 450", "erreur 415", "410 gone", "upstream connect error", "session expired", "error al cargar el documento", "erreur lors du chargement du document", "fehler beim laden des dokuments", "sorry.", "<h1>", "<noscript>", "noscript: content unavailable without client-side scripting",
     "javascript is disabled in your browser.", "you need to enable javascript to run this app.", "please enable scripts", "please permit js and cookies in order to read the filing",
     "please allow client-side scripting and try once more", "kindly permit script execution", "you must permit scripting in your browser and reload the page.", "turn on scripts and try once more",
     "to continue, switch on scripting in your browser to view this docket", "this site asks you to activate client-side scripting", "before the record can be shown, activate scripting in your browser",
@@ -65,12 +65,13 @@ UNFILLED = re.compile(
     rf"|<\s*[a-z][a-z\s]{{0,40}}\sof\s+record>|&lt;\s*{_IN}&gt;|\bXX/XX/(?:20)?XX(?:XX)?\b"
 )
 #: Width of the windows in characters and the mean log likelihood ratio a character from which one is marked, by kind.
-WINDOWS = {"filler": (40, 0.9), "notice": (20, 0.9), "template": (6, 0.8)}
+WINDOWS = {"filler": (24, 0.9), "notice": (12, 0.9), "template": (6, 0.8)}
 #: Share of a text from which residue has taken the place of its content; or what may be left beside it (a caption).
 COVERAGE, CAPTION = 0.5, 110
 #: Characters of filler in a row that are no quotation.
 FILLER_SPAN = 120
 
+_RUNNING = re.compile(r"\b[a-zà-ÿ]{4,}")
 _FOLD = bytes.maketrans(b"123456789\t\n\r\x0b\x0c\xa0", b"000000000      ")
 
 
@@ -139,6 +140,13 @@ def longest_run(mask: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
+def only_caption(text: str, mask: np.ndarray) -> bool:
+    """Whether what lies outside the marked places is no more than a caption: short, and no running text."""
+    n = len(mask)
+    rest = "".join(c for i, c in enumerate(text) if i >= n or not mask[i]) if len(text) <= 400 else text
+    return len(rest) <= CAPTION and len(_RUNNING.findall(rest)) <= 3
+
+
 def residue_of(text: str, tables: dict[str, np.ndarray]) -> str:
     """The kind of residue that excludes a text, or ''."""
     if not text.strip():
@@ -155,12 +163,12 @@ def residue_of(text: str, tables: dict[str, np.ndarray]) -> str:
     filler = marked(tables["filler"][c], *WINDOWS["filler"])
     if filler is not None:
         covered = int(filler.sum())
-        if covered >= COVERAGE * size or longest_run(filler) >= FILLER_SPAN or (covered >= 16 and size - covered <= CAPTION):
+        if covered >= COVERAGE * size or longest_run(filler) >= FILLER_SPAN or (covered >= 16 and only_caption(text, filler)):
             return "filler"
     notice = marked(tables["notice"][c], *WINDOWS["notice"])
     if notice is not None:
         covered = int(notice.sum())
-        if covered >= COVERAGE * size or (covered >= 18 and size - covered <= CAPTION):
+        if covered >= COVERAGE * size or (covered >= 9 and only_caption(text, notice)):
             return "notice"
     return ""
 
