@@ -48,7 +48,7 @@ NOTICE_PHRASES = (
     "javascript is disabled in your browser.", "you need to enable javascript to run this app.", "please enable scripts", "please permit js and cookies in order to read the filing",
     "please allow client-side scripting and try once more", "kindly permit script execution", "you must permit scripting in your browser and reload the page.", "turn on scripts and try once more",
     "to continue, switch on scripting in your browser to view this docket", "this site asks you to activate client-side scripting", "before the record can be shown, activate scripting in your browser",
-    "please enable script execution to pass the browser check", "les scripts sont bloqués : contenu non affiché.", "veuillez activer javascript pour afficher le dossier", "ohne skripte kann der inhalt nicht dargestellt werden.",
+    "please enable script execution to pass the browser check", "les scripts sont bloqués : contenu non affiché.", "veuillez activer javascript pour afficher", "ohne skripte kann der inhalt nicht dargestellt werden.",
     "bitte aktivieren sie javascript, um die akte anzuzeigen.", "esta página requiere scripts habilitados", "active javascript para ver el expediente", "in order to use this page scripts are required",
 )
 FIELDS = ("case_number", "court_name", "hearing_date", "filing_date", "client_address", "amount_due", "exhibit_no", "party_name", "judge", "firm", "counsel", "defendant", "plaintiff", "date", "name", "address", "title")
@@ -144,7 +144,8 @@ def only_caption(text: str, mask: np.ndarray) -> bool:
     """Whether what lies outside the marked places is no more than a caption: short, and no running text."""
     n = len(mask)
     rest = "".join(c for i, c in enumerate(text) if i >= n or not mask[i]) if len(text) <= 400 else text
-    return len(rest) <= CAPTION and len(_RUNNING.findall(rest)) <= 3
+    running = len(_RUNNING.findall(rest))
+    return len(rest) <= CAPTION and running <= (3 if int(mask.sum()) >= 40 else 1)
 
 
 def residue_of(text: str, tables: dict[str, np.ndarray]) -> str:
