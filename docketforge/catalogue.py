@@ -1,17 +1,21 @@
-"""All queries of the engine by name."""
+"""All queries of the engine by name, and the SQL to check them with."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import job_plans, search_plans, text_plans
+
+_ALL = {**search_plans.QUERIES, **text_plans.QUERIES, **job_plans.QUERIES}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search_plans.filtered_search(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
