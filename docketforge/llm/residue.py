@@ -31,7 +31,7 @@ FILLER = (
 )
 NOTICE_SUBJECTS = (
     "the archive node", "the document store", "the storage bucket", "the upload gateway", "the case search", "the page cache", "the session service",
-    "the index shard", "the render pool", "the file you requested", "the requested docket page", "the server", "the service",
+    "the index shard", "the render pool", "the converter", "the document viewer", "the file you requested", "the requested docket page", "the server", "the service",
 )
 NOTICE_PREDICATES = (
     "failed to load the file", "timed out", "ran out of memory", "returned no data", "refused the connection", "rejected the request", "answered with status 500",
@@ -49,7 +49,7 @@ NOTICE_PHRASES = (
     "please allow client-side scripting and try once more", "kindly permit script execution", "you must permit scripting in your browser and reload the page.", "turn on scripts and try once more",
     "to continue, switch on scripting in your browser to view this docket", "this site asks you to activate client-side scripting", "before the record can be shown, activate scripting in your browser",
     "please enable script execution to pass the browser check", "les scripts sont bloqués : contenu non affiché.", "veuillez activer javascript pour afficher", "ohne skripte kann der inhalt nicht dargestellt werden.",
-    "bitte aktivieren sie javascript, um die akte anzuzeigen.", "esta página requiere scripts habilitados", "active javascript para ver el expediente", "in order to use this page scripts are required",
+    "bitte aktivieren sie javascript, um die akte anzuzeigen.", "esta página requiere scripts habilitados", "active javascript para ver el expediente", "in order to use this page scripts are required", "you must permit js and cookies to open the exhibit", "switch on js and cookies to use the document viewer",
 )
 FIELDS = ("case_number", "court_name", "hearing_date", "filing_date", "client_address", "amount_due", "exhibit_no", "party_name", "judge", "firm", "counsel", "defendant", "plaintiff", "date", "name", "address", "title")
 #: How templates write a field; {u} upper case with _, {l} lower case with _, {s} in words, {t} words in title case, {c} without spaces.
