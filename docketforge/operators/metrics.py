@@ -29,7 +29,7 @@ def moving_average(points: DataFrame, name: str, ts: str, value: str, key: str)
     """avg = (avg + x) / 2 in the order of time, the first value seeding."""
     rows = F.array_sort(F.collect_list(F.struct(ts, key, value)))
     agg = points.groupBy(name).agg(rows.alias("p"))
-    avg = F.aggregate(F.slice("p", 2, 2_147_483_647), F.col("p")[0][value], lambda a, x: (a + x[value]) / 2)
+    avg = F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.col("p")[0][value], lambda a, x: (a + x[value]) / 2)
     return agg.select(name, F.round(avg, 6).alias("ema"))
 
 
