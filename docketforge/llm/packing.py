@@ -116,7 +116,7 @@ def pack(items: DataFrame, capacities: dict[int, int]) -> DataFrame:
     are packed each. An empty table gives an empty result. Extra columns are not looked at.
     """
     spark = items.sparkSession
-    caps = F.create_map(*[F.lit(x) for kv in capacities.items() for x in kv])
+    caps = F.create_map(*[F.lit(x) for kv in (capacities or {0: 1}).items() for x in kv])
     whole = items.where("n_tokens > 0").select(F.col("pack_id").cast("bigint").alias("pack_id"), "doc_id", "n_tokens").withColumn("cap", caps[F.col("pack_id")])
     pieces = whole.select("pack_id", "doc_id", "n_tokens", "cap", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("cap")).cast("int"))).alias("piece_no"))
     pieces = pieces.select(
@@ -153,6 +153,8 @@ def document_items(spark: SparkSession, sf_dir: str, folder: str | None = None)
         wanted = F.array(*[F.when(F.lit(s.lang is None) | (F.col("lang") == F.lit(s.lang or "")), F.lit(s.pack_id).cast("bigint")) for s in own])
         part = counts.select("doc_id", "n_tokens", F.explode(F.array_compact(wanted)).alias("pack_id"))
         items = part if items is None else items.unionByName(part)
+    if items is None:
+        items = docs.selectExpr("doc_id", "0 as n_tokens", "cast(null as bigint) as pack_id").where("false")
     return items, {s.pack_id: s.capacity_tokens for s in specs}
 
 

@@ -276,18 +276,18 @@ def repaired(texts: DataFrame) -> DataFrame:
                 if not text or not noise_of(text, lexicon):
                     continue
                 marks = {a for a, _ in divided(text, lexicon)}
-                marked = "".join("\x1f" if i in marks else c for i, c in enumerate(text)) if marks else text
+                marked = "".join("\ue000" if i in marks else c for i, c in enumerate(text)) if marks else text
                 ls = split_lines(marked)
                 headers, pages = furniture(ls)
                 for i, line in enumerate(ls):
                     bare = line.strip()
                     if i in headers or i in pages or bare == "\f":
                         continue
-                    hyphen = bare.endswith("\x1f")
+                    hyphen = bare.endswith("\ue000")
                     out[0].append(src)
                     out[1].append(rec)
                     out[2].append(i)
-                    out[3].append(bare.rstrip("\x1f"))
+                    out[3].append(bare.rstrip("\ue000"))
                     out[4].append(hyphen)
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["src", "rec_id", "no", "line", "divided"])

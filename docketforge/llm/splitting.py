@@ -91,6 +91,8 @@ def split_documents(docs: DataFrame, configs: DataFrame, only_oversized: bool =
         # not inline: the optimiser would test the size of the pieces below, computing them twice
         part = cut.select(F.lit(c.provider).alias("provider"), "doc_id", F.inline_outer("pieces")).where("piece_no is not null")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.selectExpr("cast(null as string) as provider", "doc_id", "0 as piece_no", "0 as start_byte", "0 as overlap_bytes", "text").where("false")
     return out
 
 
