@@ -46,7 +46,9 @@ def bm25(df: DataFrame, key: str, field: str, terms: list[str], top: int | None
     tf = [F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     per = words.select(key, F.size("w").alias("dl"), *tf)
     whole = per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = per.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(whole))
+    hit = per.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
+    # one scalar subquery of a few numbers, whatever the size of the corpus
+    hit = hit.withColumn("__s", whole.select(F.struct("*")).scalar()).select(*hit.columns, "__s.*")
     score = sum(
         (F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for i in range(len(terms))),
         F.lit(0.0),
