@@ -28,7 +28,7 @@ GIVEN = frozenset(
     núria rocío aurélie benoît gaël hélène maëlle océane rémi thibault anneliese günther jörg jürgen käthe liesel sönke wiebke""".split()
 )
 #: What stands before a person's name and does not belong to it.
-TITLE = re.compile(r"(?:(?<!\w)(?:Mr|MR|Mrs|MRS|Ms|MS|Mx|MX|Dr|DR|Hon|HON|Sr|SR|Sra|SRA|Dña|DÑA|Mme|MME|Mlle|M|D)\.?|(?<!\w)(?:Judge|JUDGE|Justice|JUSTICE|Officer|OFFICER|Herr|HERR|Frau|FRAU|RA|RAin|Me|ME|Don|Doña|Mme|MME))\s+$")
+TITLE = re.compile(r"(?:(?<!\w)(?:Mr|MR|Mrs|MRS|Ms|MS|Mx|MX|Dr|DR|Hon|HON|Sr|SR|Sra|SRA|Dña|DÑA|Mme|MME|Mlle|M|D)\.?|(?<!\w)(?:Ju(?:dg|dq|clg)e|JUDGE|Justice|JUSTICE|Of(?:fi|fl|ﬁ)cer|OFFICER|Herr|HERR|Frau|FRAU|RA|RAin|Me|ME|Don|Doña|Mme|MME))\s+$")
 #: Titles that are an initial in other languages than the one named.
 TITLE_OR_INITIAL = {"M.": "fr", "D.": "es"}
 #: Words in the names of companies, which are no persons.

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from .common import cut, spread, table
 
 #: What is read for a glyph, two characters for one and one for one.
+LIGATURE = ("ﬁ", "fi")
 PAIRS = (("d", "cl"), ("m", "rn"), ("h", "li"), ("u", "ii"), ("w", "vv"))
 SINGLES = (("e", "c"), ("t", "f"), ("i", "l"), ("l", "1"), ("o", "0"), ("s", "5"), ("g", "q"))
 #: A frequent form occurs in at least this share of the records: so there are at most
@@ -51,6 +52,7 @@ _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50}
 
 def skeleton(word: str) -> str:
     """The lower-cased word with each confusable glyph in the form it is misread as."""
+    word = word.replace(*LIGATURE)
     for true, read in PAIRS:
         if true in word:
             word = word.replace(true, read)
@@ -58,6 +60,7 @@ def skeleton(word: str) -> str:
 
 
 def skeleton_column(word: Column) -> Column:
+    word = F.replace(word, F.lit(LIGATURE[0]), F.lit(LIGATURE[1]))
     for true, read in PAIRS:
         word = F.replace(word, F.lit(true), F.lit(read))
     return F.translate(word, "eti105g", "cflolsq")
@@ -88,9 +91,9 @@ def frequent_forms(texts: DataFrame) -> DataFrame:
     Of the words of a skeleton the most frequent counts, and those not much rarer.
     """
     src = texts.where("text <> ''").select("text")
-    least = src.agg(F.greatest(F.lit(LEAST), F.count("*") * SHARE).alias("least"))
+    least = max(LEAST, src.count() * SHARE)
     counts = src.mapInArrow(_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", skeleton_column(F.col("word")).alias("skeleton"), "n")
+    frequent = counts.where(F.col("n") >= least).select("word", skeleton_column(F.col("word")).alias("skeleton"), "n")
     ruling = F.max("n").over(Window.partitionBy("skeleton"))
     return frequent.withColumn("top", ruling).where(F.col("n") * RARER >= F.col("top")).select("word", "skeleton", "n")
 
@@ -122,7 +125,7 @@ class Lexicon:
     def _one_way(read: str, true: str) -> bool:
         """Whether read comes from true by confusions in the direction in which they happen."""
         reach = {(0, 0)}
-        moves = [(r, t) for t, r in PAIRS] + [(r, t) for t, r in SINGLES]
+        moves = [LIGATURE] + [(r, t) for t, r in (*PAIRS, *SINGLES)]
         while reach:
             fresh = set()
             for i, j in reach:
@@ -268,13 +271,16 @@ def repaired(texts: DataFrame) -> DataFrame:
     """
     rows = _lexicon(texts)
 
+    def only_noisy(batches):
+        lexicon = Lexicon(rows)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and noise_of(t, lexicon)) for t in batch.column(2).to_pylist()], pa.bool_()))
+
     def lines(batches):
         lexicon = Lexicon(rows)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for src, rec, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if not text or not noise_of(text, lexicon):
-                    continue
                 marks = {a for a, _ in divided(text, lexicon)}
                 marked = "".join("\ue000" if i in marks else c for i, c in enumerate(text)) if marks else text
                 ls = split_lines(marked)
@@ -304,7 +310,8 @@ def repaired(texts: DataFrame) -> DataFrame:
             fixed = [_WORD.sub(mend, t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.string())], names=["src", "rec_id", "text"])
 
-    one = texts.select("src", "rec_id", "text").dropDuplicates(["src", "rec_id"])
+    # only records with noise are shuffled
+    one = texts.select("src", "rec_id", "text").mapInArrow(only_noisy, "src string, rec_id bigint, text string").dropDuplicates(["src", "rec_id"])
     flat = one.mapInArrow(lines, "src string, rec_id bigint, no int, line string, divided boolean")
     order = Window.partitionBy("src", "rec_id").orderBy("no")
     filled = flat.withColumn("gap", F.lag("line").over(order) == "").where("line <> ''")

@@ -275,7 +275,7 @@ def test_scan_noise(spark):
     assert scans.noise(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("read, true", [("m0ving", "moving"), ("founclation", "foundation"), ("tlie", "the"), ("prornpt", "prompt"), ("aqiiife", "aquite")])
+@pytest.mark.parametrize("read, true", [("m0ving", "moving"), ("founclation", "foundation"), ("tlie", "the"), ("prornpt", "prompt"), ("aqiiife", "aquite"), ("afﬁdavlt", "affidavit")])
 def test_skeleton(read, true):
     assert scans.skeleton(read) == scans.skeleton(true) and scans.Lexicon._one_way(read, true) and not scans.Lexicon._one_way(true, read)
 
