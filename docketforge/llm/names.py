@@ -229,6 +229,13 @@ def same(a: Parsed, b: Parsed) -> bool:
     return assign(a.keys, b.keys) is not None
 
 
+def marks(p: Parsed) -> set[str]:
+    """Marks of which two spellings of one entity share one: letters that a given name may begin with, else the kind."""
+    if p.kind != "person":
+        return {p.kind}
+    return set(p.given[:2]) | {n[0] for n in given_of(p.given)} or {""}
+
+
 class _Sets:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -262,14 +269,19 @@ def link(names: list[Parsed]) -> list[int]:
     for v in by.values():
         for i in v[1:]:
             sets.join(v[0], i)
-    for x, i in enumerate(firsts):
-        for j in firsts[x + 1 :]:
-            if same(names[i], names[j]):
+    with_mark: dict[str, list[int]] = {}
+    for i in firsts:
+        near = {j for m in marks(names[i]) for j in with_mark.get(m, ())}
+        for j in sorted(near):
+            if sets.find(i) != sets.find(j) and same(names[i], names[j]):
                 sets.join(i, j)
-    rest = [i for i in range(n) if i not in set(whole)]
+        for m in marks(names[i]):
+            with_mark.setdefault(m, []).append(i)
+    full = set(whole)
+    rest = [i for i in range(n) if i not in full]
     loose: list[int] = []
     for i in rest:
-        fits = [j for j in firsts if same(names[i], names[j])]
+        fits = [j for j in sorted({j for m in marks(names[i]) for j in with_mark.get(m, ())}) if same(names[i], names[j])]
         exact = [j for j in fits if names[j].keys == names[i].keys]
         told = [j for j in exact or fits if names[i].middle and names[j].middle == names[i].middle]
         roots = {sets.find(j) for j in told or exact or fits}
