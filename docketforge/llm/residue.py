@@ -65,7 +65,7 @@ UNFILLED = re.compile(
     rf"|<\s*[a-z][a-z\s]{{0,40}}\sof\s+record>|&lt;\s*{_IN}&gt;|\bXX/XX/(?:20)?XX(?:XX)?\b"
 )
 #: Width of the windows in characters and the mean log likelihood ratio a character from which one is marked, by kind.
-WINDOWS = {"filler": (24, 0.9), "notice": (12, 0.9), "template": (6, 0.8)}
+WINDOWS = {"filler": (24, 0.9), "notice": (12, 0.9), "template": (4, 0.8)}
 #: Share of a text from which residue has taken the place of its content; or what may be left beside it (a caption).
 COVERAGE, CAPTION = 0.5, 110
 #: Characters of filler in a row that are no quotation.
@@ -152,24 +152,24 @@ def residue_of(text: str, tables: dict[str, np.ndarray]) -> str:
     """The kind of residue that excludes a text, or ''."""
     if not text.strip():
         return ""
-    c = codes(text)
+    c = codes(" " + text)  # so that a field at the very beginning has its context; places are one further on
     size = len(text.strip())
     if not len(c):
         return ""
     hit = marked(tables["template"][c], *WINDOWS["template"])
     if hit is not None and UNFILLED.search(text):
         for m in UNFILLED.finditer(text):
-            if hit[max(0, m.start() - 4) : m.end() + 4].any():
+            if hit[max(0, m.start() + 1 - GRAM) : m.end() + 1 + GRAM].any():
                 return "template"
     filler = marked(tables["filler"][c], *WINDOWS["filler"])
     if filler is not None:
         covered = int(filler.sum())
-        if covered >= COVERAGE * size or longest_run(filler) >= FILLER_SPAN or (covered >= 16 and only_caption(text, filler)):
+        if covered >= COVERAGE * size or longest_run(filler) >= FILLER_SPAN or (covered >= 16 and only_caption(text, filler[1:])):
             return "filler"
     notice = marked(tables["notice"][c], *WINDOWS["notice"])
     if notice is not None:
         covered = int(notice.sum())
-        if covered >= COVERAGE * size or (covered >= 9 and only_caption(text, notice)):
+        if covered >= COVERAGE * size or (covered >= 9 and only_caption(text, notice[1:])):
             return "notice"
     return ""
 
