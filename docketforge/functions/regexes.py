@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 #: RE2's \b looks at ASCII word characters only.
+NOT_AFTER, NOT_BEFORE = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
 def re2(pattern: str) -> str:
     """pattern with \\b and \\s as RE2 has them."""
+    # beside a digit a boundary needs one look only
+    pattern = re.sub(r"\\b(?=\\d|\[A-Z\]\\d)", lambda m: NOT_AFTER, pattern)
+    pattern = re.sub(r"(?<=\})\\b(?=\||$)", lambda m: NOT_BEFORE, pattern) if re.search(r"\\d\{[\d,]+\}\\b", pattern) and "@" not in pattern else pattern
     out, i, in_class = [], 0, False
     while i < len(pattern):
         two = pattern[i : i + 2]

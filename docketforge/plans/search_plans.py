@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import facets, index, predicates, search
 from ..operators.predicates import SearchRequest
 from ..schema import INDEX_SQL, document_index
-from ..session import table
+from ..session import spread, table
 
 AS_OF = "2024-07-01"
 _FROM, _TO = datetime(2020, 1, 1), datetime(2023, 6, 30, 12)
@@ -50,21 +50,21 @@ _QT = search.query_terms(_Q)
 
 
 def fulltext_or(s, d):
-    return search.bm25(table(s, d, "documents"), "doc_id", "text", _QT).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(spread(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", _QT).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def fulltext_top(s, d):
-    return search.bm25(table(s, d, "documents"), "doc_id", "text", _QT, top=20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(spread(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", _QT, top=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def fulltext_best(s, d):
-    return search.best_fields(_docs(s, d), "doc_id", _Q).select("doc_id", F.round("score", 6).alias("score"))
+    return search.best_fields(spread(_docs(s, d).select("doc_id", *search.FIELDS), "doc_id"), "doc_id", _Q).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def filtered_search(s, d):
     """The flagship: filters, ranked text search, one page."""
     r = SearchRequest(query=_Q, status="filed", date_from=_FROM, size=20).checked()
-    kept = _docs(s, d).where(predicates.compile_request(r))
+    kept = spread(_docs(s, d).where(predicates.compile_request(r)).select("doc_id", *search.FIELDS), "doc_id")
     ranked = search.best_fields(kept, "doc_id", r.query)
     return ranked.orderBy(F.desc("score"), F.asc("doc_id")).offset(r.offset).limit(r.size).select("doc_id", F.round("score", 6).alias("score"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, redact, text
 from ..functions.regexes import re2
 from ..sources import storage
-from ..session import table
+from ..session import spread, table
 
 AS_OF = "2024-07-01"
 
@@ -50,7 +50,7 @@ def literal(spark, rows: list):
 
 def texts(s, d):
     """The corpus and the literal rows (with negative ids)."""
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text").where("text is not null")
+    docs = spread(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id")
     return docs.unionByName(literal(s, SNIPPETS).select((-1 - F.col("id")).alias("id"), "text"))
 
 
