@@ -42,9 +42,9 @@ def bm25(df: DataFrame, key: str, field: str, terms: list[str], top: int | None
     Only the occurrences of query terms leave the scan; the document frequencies are a few
     numbers, aggregated in the same pass as the mean length.
     """
-    words = df.select(key, tokens(F.col(field)).alias("w")).where(F.size("w") > 0)
-    tf = [F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    per = words.select(key, F.size("w").alias("dl"), *tf)
+    # the words are bound by a lambda, so that they are made once and not for each term
+    counts = F.transform(F.array(tokens(F.col(field))), lambda w: F.struct(F.size(w).alias("dl"), *[F.size(F.filter(w, _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]))
+    per = df.select(key, F.explode(counts).alias("c")).select(key, "c.*").where("dl > 0")
     whole = per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = per.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
     # one scalar subquery of a few numbers, whatever the size of the corpus
