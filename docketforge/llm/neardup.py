@@ -1,6 +1,6 @@
 """Problem 3: near-duplicate documents by an LSH forest.
 
-Each document gets minima of its eight-word shingles under many hash functions. A tree of the
+Each document gets minima of its three-word sequences under many hash functions. A tree of the
 forest orders all documents by a label of such minima, and documents that stand next to each
 other with a long common prefix of labels are candidates. Where a region of a tree is crowded
 the order uses deeper labels, so the candidates of a document stay few at any scale. All
@@ -22,19 +22,19 @@ from pyspark.sql.window import Window
 
 from .common import components, cut, spread, table
 
-TREES = 40
+#: A pair at the threshold shares the labels of one tree with chance 1/8, so 0.9997 of such pairs meet.
+TREES = 60
 #: Labels that neighbours must share at least.
 DEPTH = 3
 #: Neighbours on each side of a document in a tree's order; smaller regions are compared whole.
 REACH = 4
 #: Documents in a region from which its order goes one label deeper.
 CROWD = 512
-#: Words of the shingles that find candidates, and of the sequences that decide.
-FIND_WORDS, DECIDE_WORDS = 8, 3
+#: Words of the sequences that find candidates and decide.
+DECIDE_WORDS = 3
 MIN_WORDS = 40
-#: Equal minima, of TREES * DEPTH, below which a candidate is not compared exactly. A pair whose
-#: eight-word similarity is 0.35 has 42 on average with a deviation of 5, a chance meeting about 3.
-LEAST_EQUAL = 15
+#: Deviations below its expected number of equal minima, of TREES * DEPTH, down to which a pair at the threshold is compared exactly.
+DEVIATIONS = 4
 SIMILARITY = 0.5
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -82,7 +82,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> bytes:
-    s = (shingles(h, FIND_WORDS) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    s = (shingles(h, DECIDE_WORDS) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     s = np.unique(s)
     return (((s[None, :] ^ _XOR[:, None]) * _MULT[:, None]).min(axis=1)).astype("<u4").tobytes()
 
@@ -139,13 +139,19 @@ def _compare(threshold):
     return run
 
 
-def _alike(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-        mask = pa.array((x == y).sum(axis=1) >= LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+def _alike(threshold):
+    n = TREES * DEPTH
+    least = n * threshold - DEVIATIONS * (n * threshold * (1 - threshold)) ** 0.5
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for i in (2, 3))
+            mask = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
 
 
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
@@ -179,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
     pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     sigs = reps.select("doc_id", "sig")
     pairs = pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint"))
+    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a bigint, b bigint"))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])

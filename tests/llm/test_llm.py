@@ -152,6 +152,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert 902 not in rep and 903 in rep and rep[100] == rep[104] == 0
 
 
+def test_near_duplicates_with_scattered_edits(spark):
+    rng = random.Random(7)
+    texts, want = [], set()
+    for i in range(60):
+        d = [f"w{rng.randrange(50000)}" for _ in range(300)]
+        e = list(d)
+        while _jaccard(" ".join(d), " ".join(e)) > 0.56:
+            e[rng.randrange(len(e))] = f"x{rng.randrange(50000)}"
+        texts += [" ".join(d), " ".join(e)]
+        want.add((2 * i, 2 * i + 1))
+    pairs, _ = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     pairs, members = neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"))
     assert pairs.count() == 0 and members.count() == 0
