@@ -1,11 +1,10 @@
-"""Problem 3: near-duplicate documents by an LSH forest.
-
-Each document gets minima of its three-word sequences under many hash functions. A tree of the
-forest orders all documents by a label of such minima, and documents that stand next to each
-other with a long common prefix of labels are candidates. Where a region of a tree is crowded
-the order uses deeper labels, so the candidates of a document stay few at any scale. All
-candidates are then compared exactly by their three-word sequences, and within the classes
-found in this way every pair of different texts is compared too.
+"""Problem 3: near-duplicate documents by locality-sensitive hashing.
+
+Each document gets minima of its three-word sequences under many hash functions. A tree sorts
+all documents into regions by a label of such minima, and all pairs of a region are compared
+by short sketches of their minima: in one task where the region is small, in a grid of salted
+cells where it is crowded. Pairs whose sketches agree are compared exactly by their three-word
+sequences, and within the classes found in this way every pair of different texts is too.
 """
 
 from __future__ import annotations
@@ -24,16 +23,16 @@ from .common import components, cut, spread, table
 
 #: A pair at the threshold shares the labels of one tree with chance 1/8, so 0.9997 of such pairs meet.
 TREES = 60
-#: Labels that neighbours must share at least.
+#: Minima in a label.
 DEPTH = 3
-#: Neighbours on each side of a document in a tree's order; smaller regions are compared whole.
-REACH = 4
-#: Documents in a region from which its order goes one label deeper.
-CROWD = 512
+#: Documents in a region from which its pairs are made in a grid of cells, and the salts of the grid.
+CROWD, SALTS = 2048, 16
+#: Bits of each minimum in a sketch.
+BITS = 4
 #: Words of the sequences that find candidates and decide.
 DECIDE_WORDS = 3
 MIN_WORDS = 40
-#: Deviations below its expected number of equal minima, of TREES * DEPTH, down to which a pair at the threshold is compared exactly.
+#: Deviations below its expected number of equal parts of the sketch, down to which a pair at the threshold is compared exactly.
 DEVIATIONS = 4
 SIMILARITY = 0.5
 
@@ -84,7 +83,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 def signature(h: np.ndarray) -> bytes:
     s = (shingles(h, DECIDE_WORDS) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     s = np.unique(s)
-    return (((s[None, :] ^ _XOR[:, None]) * _MULT[:, None]).min(axis=1)).astype("<u4").tobytes()
+    return (((s[None, :] ^ _XOR[:, None]) * _MULT[:, None]).min(axis=1)).astype("<u2").tobytes()  # the low half tells minima apart
 
 
 def _sign(batches):
@@ -99,20 +98,105 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "copy_key", "sig"])
 
 
+def _minima(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), TREES * DEPTH)
+
+
 def _labels(batches):
-    """A row of each document for each tree: region (its first labels) and order (its deeper labels)."""
+    """The region of each document in each tree."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").reshape(n, TREES, DEPTH).astype(np.uint64)
-        ids = np.asarray(batch.column(0))
+        sig = _minima(batch.column(1)).astype(np.uint64).reshape(-1, TREES, DEPTH)
         for t in range(TREES):
-            a, b = sig[:, t], sig[:, (t + 1) % TREES]
-            region = (a[:, 0] << np.uint64(32) | a[:, 1]) * np.uint64(0x9E3779B97F4A7C15)
-            region = (region ^ (region >> np.uint64(31)) ^ a[:, 2]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(t)
-            order = b[:, 0] << np.uint64(32) | b[:, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(order.view(np.int64)), pa.array(ids)], names=["region", "deeper", "doc_id"])
+            region = (sig[:, t, 0] << np.uint64(32) | sig[:, t, 1] << np.uint64(16) | sig[:, t, 2]) * np.uint64(0x9E3779B97F4A7C15)
+            region = (region ^ (region >> np.uint64(31)) ^ np.uint64(t)) * np.uint64(0xD6E8FEB86659FD93)
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0)], names=["region", "doc_id"])
+
+
+def _sketches(batches):
+    """The highest BITS bits of each stored minimum, packed into words of 64 bits."""
+    per = 64 // BITS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        top = (_minima(batch.column(1)) >> (16 - BITS)).astype(np.uint64)
+        top = np.pad(top, ((0, 0), (0, -top.shape[1] % per))).reshape(batch.num_rows, -1, per)
+        words = np.bitwise_or.reduce(top << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary())], names=["doc_id", "sketch"])
+
+
+def _agree(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of sketches have as many equal parts as a pair at the threshold has."""
+    n = TREES * DEPTH
+    chance = threshold + (1 - threshold) / 2**BITS
+    least = n * chance - DEVIATIONS * (n * chance * (1 - chance)) ** 0.5
+    other = x ^ y
+    for k in range(1, BITS):
+        other = other | (x ^ y) >> np.uint64(k)
+    ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+    return n - np.bitwise_count(other & ones).sum(axis=1, dtype=np.int64) >= least
+
+
+def _words_of_sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _whole_regions(batches):
+    """Tables of whole regions from batches that are sorted by region."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region = np.asarray(batch.column(0))
+        last = batch.num_rows - int((region[::-1] != region[-1]).argmax() or batch.num_rows)
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        elif held and held[-1].column(0)[0].as_py() != region[0]:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meet(threshold):
+    """Pairs with agreeing sketches of rows (region, doc_id, sketch) sorted by region: row i with row i + k for every k."""
+
+    def run(batches):
+        for t in _whole_regions(batches):
+            region, ids, sk = t.column(0).to_numpy(), t.column(1).to_numpy(), _words_of_sketches(t.column(2))
+            i, k = np.arange(len(region)), 1
+            while len(i):
+                i = i[i + k < len(region)]
+                i = i[region[i] == region[i + k]]
+                hit = i[_agree(sk[i], sk[i + k], threshold)]
+                if len(hit):
+                    x, y = ids[hit], ids[hit + k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                k += 1
+
+    return run
+
+
+def _meet_in_cell(threshold):
+    """Pairs with agreeing sketches of the rows of one cell (lo, hi): those with salt lo against those with salt hi."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, salt, sk = cell.column("doc_id").to_numpy(), cell.column("salt").to_numpy(), _words_of_sketches(cell.column("sketch"))
+        lo, hi = (np.nonzero(salt == cell.column(c)[0].as_py())[0] for c in ("lo", "hi"))
+        left, right = [], []
+        for i in lo:
+            js = hi[ids[hi] > ids[i]] if cell.column("lo")[0] == cell.column("hi")[0] else hi
+            js = js[_agree(sk[i][None, :], sk[js], threshold)]
+            left.append(np.full(len(js), ids[i]))
+            right.append(ids[js])
+        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
 
 
 def _sets(batches):
@@ -139,21 +223,6 @@ def _compare(threshold):
     return run
 
 
-def _alike(threshold):
-    n = TREES * DEPTH
-    least = n * threshold - DEVIATIONS * (n * threshold * (1 - threshold)) ** 0.5
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-            mask = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return run
-
-
 def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets of word sequences reach the threshold."""
     a = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
@@ -175,17 +244,18 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
     first = signed.groupBy("copy_key").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "copy_key").join(first, "copy_key").select("doc_id", "rep").distinct()
     reps = signed.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = cut(reps.select("doc_id", "sig").mapInArrow(_labels, "region bigint, deeper bigint, doc_id bigint"))
-
-    crowded = rows.groupBy("region").count().where(F.col("count") > CROWD).select("region", F.lit(True).alias("crowded"))
-    at = rows.join(crowded, "region", "left").withColumn("depth", F.when(F.col("crowded"), F.shiftright("deeper", 32)).otherwise(F.lit(0)))
-    order = Window.partitionBy("region", "depth").orderBy("deeper", "doc_id")
-    near = at.select("doc_id", F.array_compact(F.array(*[F.lead("doc_id", i).over(order) for i in range(1, REACH + 1)])).alias("near"))
-    pairs = near.select("doc_id", F.explode("near").alias("other")).where("doc_id <> other")
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    sigs = reps.select("doc_id", "sig")
-    pairs = pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a bigint, b bigint"))
+    rows = reps.select("doc_id", "sig").mapInArrow(_labels, "region bigint, doc_id bigint")
+    size = F.count("*").over(Window.partitionBy("region"))
+    shared = cut(rows.withColumn("size", size).where("size > 1").select("region", "doc_id", (F.col("size") > CROWD).alias("crowded")))
+    sketches = reps.select("doc_id", "sig").mapInArrow(_sketches, "doc_id bigint, sketch binary")
+    met = shared.where("not crowded").join(sketches, "doc_id").select("region", "doc_id", "sketch")
+    met = met.repartition("region").sortWithinPartitions("region").mapInArrow(_meet(threshold), "a bigint, b bigint")
+    # a crowded region is a grid: each of its rows goes to the SALTS cells of its salt
+    salted = shared.where("crowded").withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)"))
+    grid = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(sketches, "doc_id")
+    grid = grid.select("region", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "doc_id", "sketch")
+    far = grid.groupBy("region", "lo", "hi").applyInArrow(_meet_in_cell(threshold), "a bigint, b bigint")
+    pairs = cut(met.unionByName(far).distinct())
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])

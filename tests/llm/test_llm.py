@@ -166,6 +166,21 @@ def test_near_duplicates_with_scattered_edits(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+@pytest.mark.parametrize("crowd", [2048, 20])
+def test_near_duplicates_in_crowded_regions(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd, raising=False)
+    rng = random.Random(11)
+    fixed = " ".join(f"b{i}" for i in range(130))
+    texts, want = [], set()
+    for i in range(300):
+        own, some = ([f"w{rng.randrange(50000)}" for _ in range(n)] for n in (70, 60))
+        texts += [" ".join([fixed, *own]), " ".join([fixed, *own[: 70 - 60], *some])]
+        want.add((2 * i, 2 * i + 1))
+    assert all(_jaccard(texts[a], texts[b]) >= 0.5 for a, b in want) and _jaccard(texts[0], texts[2]) < 0.5
+    pairs, _ = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     pairs, members = neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"))
     assert pairs.count() == 0 and members.count() == 0
