@@ -45,6 +45,21 @@ _AFTER_GIVEN = re.compile(r"\s[A-ZÀ-ÖØ-Þ]\.(?!\s*[A-ZÀ-ÖØ-Þ]\.)")
 #: Shape of the family names: at least two syllable groups around a stressed middle one.
 _FAMILY = re.compile(r"[^\W\d_]{2,6}(?:agn|avr|endr|ersk|eth|ick|ilv|imb|inn|ong|ost|ozz|uft|ull)[^\W\d_]{2,6}", re.I)
 _NO_FAMILY = frozenset("the and court county district division page case rule docket exhibit section".split())
+#: What may stand with a capital after a title or an initial and is no family name.
+_NO_NAME = _NO_FAMILY | TRADE | frozenset(
+    """no yes in of for to by at on it he she they we you this that there these those is was did do does if when where what which who why how not but or as so all any
+    department general chief magistrate judge justice officer presiding senior associate advocate attorney counsel honorable pro tem clerk plaintiff defendant appellant appellee
+    president director chairman secretary professor doctor dear sir madam article chapter title part schedule appendix annex volume paragraph item state federal united
+    supreme superior appeal appeals system act code herr frau señor señora don doña madame monsieur maître""".split()
+)
+#: Titles that are ordinary words too; the word after them must not occur in small letters in the text.
+_WEAK_TITLE = frozenset("judge judqe juclge justice officer me ra rain m d don".split())
+_BEFORE_NO_INITIAL = re.compile(r"(?:^|[.:;?!\x1e\])”\"—|]\s*|\b(?:exhibit|section|part|schedule|appendix|group|title|class|item|annex|annexe|anexo|anlage|teil|clause|paragraph|division|count|plan|type|unit|apt)\.?\s+)$", re.I)
+#: Letters of questions and answers; as an initial only within a sentence.
+_QUESTION = frozenset("QAPRF")
+_IN_SENTENCE = re.compile(r"(?<!\w)(?![ivxl]+\s)[a-zà-ÿ]+,?\s+$")
+_PARTICLES = re.compile(r"(?<!\w)(?:(?:de|del|la|las|los|le|van|von|der|den|di|da|du|zu|zur|ter)\s+)+$|(?<!\w)[OD]['’]$")
+_SECOND_PART = re.compile(r"[-'’][A-ZÀ-ÖØ-Þ][^\W_]+")
 
 _WS = r"[ ]{1,4}"
 _TOWN = r"[A-ZÀ-Þ][a-zà-ÿ]+(?:[ -](?!Re\b|Subject\b|Dated\b|Sincerely\b|Respectfully\b)[A-ZÀ-Þ][a-zà-ÿ]+)?|[A-ZÀ-Þ]{3,}(?:[ -](?!RE\b|SUBJECT\b)[A-ZÀ-Þ]{3,})?"
@@ -77,12 +92,22 @@ PHONE = re.compile(
     r"|(?:(?:\+|00)34[ .-]?)?910(?:[ .-]?\d){6}"
     r"|(?:\+|00)33[ .-]?\d(?:[ .-]?\d{2}){4}|01(?:[ .-]?\d{2}){4}"
     r"|(?:(?:\+|00)49 ?(?:\(0\) ?)?|\(?0)30\)? ?(?:/ ?)?23125[ -]?\d{3}"
+    r"|[2-9]\d{2}([ .-])[2-9]\d{2}\3\d{4}|(?P<labelled>[2-9]\d{2}[2-9]\d{6})"
+    r"|(?:\+|00)34[ .-]?[6-9]\d(?:[ .-]?\d){7}|(?<!\d[ .-])[6-9]\d{2}([ .-])(?:\d{3}\5\d{3}|\d{2}\5\d{2}\5\d{2})|(?P<spanish>[6-9]\d{8})"
+    r"|(?:\+|00)33[ .-]?\(0\)[ .-]?\d(?:[ .-]?\d{2}){4}|(?<!\d[ .-])0[1-9]([ .-])\d{2}(?:\7\d{2}){3}|(?P<french>0[1-9]\d{8})"
+    r"|(?:\+|00)49[ .-]?(?:\(0\) ?)?\(?[1-9]\d{1,4}\)?(?: ?[/-] ?| )?\d{3,8}(?:[ -]\d{1,5}){0,2}|(?P<german>\(?0[1-9]\d{1,4}\)?(?: ?[/-] ?| )?\d{3,8}(?:[ -]\d{1,5}){0,2})"
+    r"|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}"
     r")(?![\w/]|[.-]\d)"
 )
+#: What stands before a phone number; the named forms of PHONE count only after it.
+_PHONE_LABEL = re.compile(
+    r"(?<!\w)(?:tel(?:ephone|éfono|efon|éphone|efax)?|(?:cell|mobile)?\s?phone|call(?:ed|ing|s)?|fax|cell|mobile|móvil|llamar|portable|appeler|mobil|handy|rufnummer|dial(?:ed|ing)?)\.?\s*(?:numbers?|no\.?|n[°ºo]\.?|nr\.?)?\s*:?\s*(?:at|to|is|was|al|au|unter)?\s*$", re.I)
+#: What stands after an amount of money.
+_AMOUNT = re.compile(r"\s?(?:€|\$|EUR\b|USD\b|euros?\b|dollars?\b)")
 #: How numbers issued to persons are written, with their labels where the form alone does not tell.
 IDENTITY = re.compile(
     r"(?<![\w$€/.-])(?:"
-    r"\d{3}-\d{2}-\d{4}|9\d{2} \d{2} \d{4}|9\d{8}"
+    r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{9}"
     r"|[A-Z]-\d{3}-\d{4}|[A-Z]\d{7,8}"
     r"|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]"
     r"|[12] \d{2} \d{2} [\dAB]{2} \d{3} \d{3} \d{2}|\d{2}[A-Z]{2}\d{5}"
@@ -90,7 +115,7 @@ IDENTITY = re.compile(
     r")(?![\w/]|-\d)"
 )
 #: Forms of IDENTITY that count only after a label.
-_NEEDS_LABEL = re.compile(r"9\d{8}|9\d{2} \d{2} \d{4}|[A-Z]\d{7,8}|\d{2} \d{3} \d{3} \d{3}|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{3}[A-Z]\d{4}|[A-Z]-\d{3}-\d{4}")
+_NEEDS_LABEL = re.compile(r"\d{9}|\d{3} \d{2} \d{4}|[A-Z]\d{7,8}|\d{2} \d{3} \d{3} \d{3}|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{3}[A-Z]\d{4}|[A-Z]-\d{3}-\d{4}")
 _LABEL = re.compile(
     r"(?:SSN|social\s+security(?:\s+(?:number|no\.?))?|taxpayer\s+identification(?:\s+number)?|licen[sc]e(?:\s+no\.?)?|DL|passport(?:\s+(?:no\.?|number))?|DNI|NIE|pasaporte"
     r"|Steuer-ID|Personalausweis|Reisepass|identité|sociale|passeport)\s*(?:n[°ºo]\.?|#|:)?\s*(?:page\s+\d+(?:\s+of\s+\d+)?\s+)?$", re.I)
@@ -163,6 +188,40 @@ def _family(word: str) -> bool:
     return known
 
 
+def _general_name(s: str, a: int, b: int, w: str, nxt: tuple | None) -> tuple[int, int] | None:
+    """Place of the name that ends in the capitalised word w, whatever its shape, if a title or initials stand before it."""
+    low = w.lower()
+    if a < 2 or low in _NO_NAME or low in GIVEN or any(c.isdigit() for c in w):
+        return None
+    part = _PARTICLES.search(s, max(0, a - 20), a)
+    start = part.start() if part else a
+    if not s[start - 1].isspace() and not (part and part.group()[0] in "OD"):
+        return None
+    small = lambda: re.search(rf"(?<!\w){re.escape(low)}(?!\w)", s)
+    before = TITLE.search(s, max(0, start - 12), start)
+    if before:
+        t = before.group().strip()
+        if (t in TITLE_OR_INITIAL and TITLE_OR_INITIAL[t] != language(s)) or (t.rstrip(".").lower() in _WEAK_TITLE and small()):
+            before = None
+    if not before:
+        m = _INITIALS.search(s, max(0, start - 8), start)
+        if not m or small():
+            return None
+        if m.group().count(".") < 2 and (_BEFORE_NO_INITIAL.search(s, max(0, m.start() - 14), m.start()) or (m.group()[0] in _QUESTION and not _IN_SENTENCE.search(s, max(0, m.start() - 24), m.start()))):
+            return None  # the letter of a question, an answer or a heading
+        start = m.start()
+    more = _SECOND_PART.match(s, b)
+    end = more.end() if more else b
+    if nxt and nxt[0] >= end and nxt[0] - end <= 2:
+        follows = nxt[2].lower().rstrip(".")
+        if follows in TRADE:
+            return None
+        # a given name that is not listed, with its family name
+        if before and not more and not w.isupper() and not nxt[2].isupper() and s[end : nxt[0]] == " " and follows not in _NO_NAME and language(s) != "de" and not re.search(rf"(?<!\w){re.escape(follows)}(?!\w)", s):
+            end = nxt[1]
+    return start, end
+
+
 def find_names(s: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     caps = [(m.start(), m.end(), m.group()) for m in _CAP.finditer(s)]
     out: list[tuple[int, int]] = []
@@ -193,6 +252,10 @@ def find_names(s: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 used.add(i + 1)
                 continue
         if not _family(w):
+            found = _general_name(s, a, b, w, nxt)
+            if found and free(*found):
+                out.append(found)
+                known.add(low)
             continue
         if nxt and nxt[2].lower().rstrip(".") in TRADE and nxt[0] - b <= 2:
             continue
@@ -272,6 +335,8 @@ def find_items(text: str) -> list[tuple[str, int, int]]:
         runs = [(m.start(), m.end()) for m in _NUMBER.finditer(s)]
         for m in (m for a, b in runs for m in PHONE.finditer(s, max(0, a - 3), b)):
             if all(m.end() <= a or m.start() >= b for a, b in taken) and not _LABEL.search(s, max(0, m.start() - 70), m.start()):
+                if (m.lastgroup and not _PHONE_LABEL.search(s, max(0, m.start() - 40), m.start())) or _AMOUNT.match(s, m.end()):
+                    continue
                 out.append(("phone", m.start(), m.end()))
                 taken.append((m.start(), m.end()))
         for m in (m for a, b in runs for m in IDENTITY.finditer(s, max(0, a - 3), min(len(s), b + 2))):

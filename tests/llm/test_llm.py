@@ -237,6 +237,16 @@ def test_personal_items(text, want):
     assert [(k, text[a:b]) for k, a, b in personal.find_items(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [("Call 212-867-5309 or 612 345 678.", ["212-867-5309", "612 345 678"]), ("au 06 12 34 56 78, sonst +49 89 1234567.", ["06 12 34 56 78", "+49 89 1234567"]), ("Tel. 089 1234567, London +44 20 7946 0958", ["089 1234567", "+44 20 7946 0958"]),
+     ("Mr. Smith met Judge Garcia and J. R. Miller.", ["Smith", "Garcia", "J. R. Miller"]), ("for Ms. de la Cruz, Mr. O'Brien and the witness T. Reed", ["de la Cruz", "O'Brien", "T. Reed"]), ("SSN: 123456789, Social Security No. 123 45 6789", ["123456789", "123 45 6789"]),
+     ("Q. Where was it? A. Between us. Case 123456789, file 089 1234567, sum 612 345 678 €. B. Terms. Justice Department", [])],
+)
+def test_personal_items_of_general_form(text, want):
+    assert [text[a:b] for _, a, b in personal.find_items(text)] == want
+
+
 def test_masking_is_linked_and_reversible():
     f = personal.Feistel(b"key")
     for v in ("281 555 0129", "+49 30 23125 191", "916-25-1169", "7"):
