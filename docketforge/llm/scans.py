@@ -29,9 +29,14 @@ SHARE, LEAST = 0.0004, 8
 #: A form counts beside the ruling form of its skeleton if it is at most so many times rarer.
 RARER = 25
 MIN_LENGTH = 4
+#: A shorter form counts as true if it is at most so many times rarer than the most frequent form, and is looked for only in words that stand alone.
+SHORT_RARER = 35
 
 _SINGLES = str.maketrans({"e": "c", "t": "f", "i": "l", "1": "l", "0": "o", "5": "s", "g": "q"})
 _WORD = re.compile(r"[^\W_]+")
+#: Short words that stand alone: no parts of divided words, abbreviations, compounds or numbers.
+_ALONE = re.compile(r"(?<![\w'’.\-¬­@/§&])(?<![-¬­]\n)(?<![-¬­] \n)(?<![-¬­]\r\n)(?:[A-ZÀ-Þ](?=[a-z0-9à-ÿ]))?[a-z0-9à-ÿ]{1,5}(?![\w'’.\-¬­@/])")
+_NO_SHORT = re.compile(r"[ivxlcdm]+|[1-9].*|[^a-zà-ÿ]*|.", re.I)
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _BREAK = re.compile(r"([-¬­])[ \t]*\r?\n\s*(?=([^\W\d_]+))")
@@ -80,6 +85,7 @@ def _words(batches):
         for text in batch.column(0).to_pylist():
             low = text.lower()
             n.update({w for w in _WORD.findall(low) if MIN_LENGTH <= len(w) <= 24})
+            n.update({w for w in _ALONE.findall(low) if 1 < len(w) < MIN_LENGTH})
             if "-" in low:
                 n.update(set(_COMPOUND.findall(low)))
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
@@ -105,7 +111,13 @@ class Lexicon:
         for w, s, _ in sorted(rows, key=lambda r: r[2]):
             if "-" not in w and _HAS_LETTER.search(w):
                 self.ruling[s] = w
+        most = max((n for _, _, n in rows), default=0)
+        self.short = {s: w for s, w in self.ruling.items() if len(w) < MIN_LENGTH}
+        common = {w for w, _, n in rows if n * SHORT_RARER >= most}
+        self.short = {s: w for s, w in self.short.items() if w in common}
+        self.ruling = {s: w for s, w in self.ruling.items() if len(w) >= MIN_LENGTH}
         self.seen: dict[str, str] = {}
+        self.seen_short: dict[str, str] = {}
 
     def true_form(self, word: str) -> str:
         """The frequent form that a lower-cased word was misread from, or ''."""
@@ -121,6 +133,20 @@ class Lexicon:
             self.seen[word] = known
         return known
 
+    def short_form(self, word: str) -> str:
+        """The common form of less than MIN_LENGTH letters that a lower-cased word standing alone was misread from, or ''."""
+        known = self.seen_short.get(word)
+        if known is None:
+            if len(self.seen_short) > 400_000:
+                self.seen_short.clear()
+            known = ""
+            if word not in self.words and not _NO_SHORT.fullmatch(word):
+                top = self.short.get(skeleton(word), "")
+                if top and self._one_way(word, top):
+                    known = top
+            self.seen_short[word] = known
+        return known
+
     @staticmethod
     def _one_way(read: str, true: str) -> bool:
         """Whether read comes from true by confusions in the direction in which they happen."""
@@ -215,7 +241,7 @@ def noise_of(text: str, lexicon: Lexicon) -> list[str]:
         out.append("hyphen_break")
     form = lexicon.true_form
     words = lexicon.words
-    if any(form(w) for w in set(_WORD.findall(text.lower())) if w not in words):
+    if any(form(w) for w in set(_WORD.findall(text.lower())) if w not in words) or any(lexicon.short_form(w.lower()) for w in set(_ALONE.findall(text))):
         out.append("misread")
     if "\n" in text or "\f" in text:
         headers, pages = furniture(split_lines(text))
@@ -301,13 +327,13 @@ def repaired(texts: DataFrame) -> DataFrame:
     def mended(batches):
         lexicon = Lexicon(rows)
 
-        def mend(m):
+        def mend(m, form=lexicon.true_form):
             w = m.group()
-            true = lexicon.true_form(w.lower())
+            true = form(w.lower())
             return w if not true else true.upper() if w.isupper() and len(w) > 1 else true.capitalize() if w[:1].isupper() else true
 
         for batch in batches:
-            fixed = [_WORD.sub(mend, t) for t in batch.column(2).to_pylist()]
+            fixed = [_ALONE.sub(lambda m: mend(m, lexicon.short_form), _WORD.sub(mend, t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.string())], names=["src", "rec_id", "text"])
 
     # only records with noise are shuffled

@@ -314,6 +314,16 @@ def test_scan_noise(spark):
     assert scans.noise(df.where("false")).count() == 0
 
 
+def test_misread_short_words(spark):
+    plain = "The terms of the lease and the notice to him are in the file of the court, and it is for him to see."
+    noisy = {90: "tlie notice", 91: "See thc notice", 92: "the lease ancl the notice", 93: "notice to hirn in court", 94: "the terms 0f the lease"}
+    clean = {80: "under § 1a and part ii of the lease", 81: "the no-\nthc part", 82: "Sce. of the thc-free lease", 83: "12 cl of the file"}
+    df = spark.createDataFrame([("document", i, plain) for i in range(40)] + [("document", i, t) for i, t in (noisy | clean).items()], "src string, rec_id bigint, text string")
+    assert {r.rec_id for r in scans.noise(df).collect() if r.noise_kind == "misread"} == set(noisy)
+    mended = {r.rec_id: r.text for r in scans.repaired(df).collect()}
+    assert [mended[i] for i in noisy] == ["the notice", "See the notice", "the lease and the notice", "notice to him in court", "the terms of the lease"]
+
+
 @pytest.mark.parametrize("read, true", [("m0ving", "moving"), ("founclation", "foundation"), ("tlie", "the"), ("prornpt", "prompt"), ("aqiiife", "aquite"), ("afﬁdavlt", "affidavit")])
 def test_skeleton(read, true):
     assert scans.skeleton(read) == scans.skeleton(true) and scans.Lexicon._one_way(read, true) and not scans.Lexicon._one_way(true, read)
