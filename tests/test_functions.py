@@ -1,6 +1,8 @@
 """Cleaning, classification, dates, redaction, storage and readers on small fixtures."""
 
+import base64
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,22 @@ def test_readers(spark, tmp_path):
     assert got["a.txt"].text == "hello \ufffd world" and got["b.docx"].text == "One\nTwo" and got["c.pdf"].text == "Hello (x)\nAB"
     assert not got["d.pdf"].success and "not a PDF" in got["d.pdf"].error
     assert storage.listing(spark, str(tmp_path)).count() == 4
+
+
+def test_compressed_pdf(spark, tmp_path):
+    shown = b"BT (Motion to dismiss) Tj [(gran) -20 (ted \\(in part\\))] TJ ET"
+    flate = lambda b: zlib.compress(b)
+    pdf = lambda d, b: b"%PDF-1.5\n1 0 obj << /Type /Page >> endobj\n2 0 obj << " + d + b" >>\nstream\n" + b + b"\nendstream endobj\n%%EOF"
+    files = {
+        "flate.pdf": pdf(b"/Filter /FlateDecode", flate(shown)), "both.pdf": pdf(b"/Filter [/ASCII85Decode /FlateDecode]", base64.a85encode(flate(shown)) + b"~>"),
+        "scan.pdf": pdf(b"/Subtype /Image /Filter /DCTDecode", b"\xff\xd8"), "other.pdf": pdf(b"/Filter /LZWDecode", b"x"), "broken.pdf": pdf(b"/Filter /FlateDecode", b"nothing"),
+        "part.pdf": pdf(b"/Filter /FlateDecode", flate(shown + b" <0041> Tj")),
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[-1]: r for r in readers.extract(spark, str(tmp_path)).collect()}
+    for name in ("flate.pdf", "both.pdf"):
+        assert got[name].success and got[name].text == "Motion to dismiss\ngranted (in part)" and got[name].page_count == 1 and got[name].word_count == 6
+    for name in ("scan.pdf", "other.pdf", "broken.pdf"):
+        assert not got[name].success and got[name].text is None and "read" in got[name].error
+    assert not got["part.pdf"].success and got["part.pdf"].text == got["flate.pdf"].text and "glyph" in got["part.pdf"].error
