@@ -328,7 +328,7 @@ def _index(courts: list[tuple[int, str]]):
                 item = mapper(name) or next((i for i, label in courts if label == name), 0) if fld == "court" else 0
                 words = (f"#{item}",) if item else tuple(dict.fromkeys(w for w in p.keys if len(w) >= 4)) or p.keys[:1]
                 for w in words:
-                    for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) > 4 and not item)}:
+                    for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) >= 4 and not item)}:
                         for c, x in zip(cols, (fld, case, name, w, v)):
                             c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["field_name", "case_number", "name", "word", "variant"])

@@ -299,6 +299,12 @@ def test_linked_names(spark):
     assert names.linked_names(df.where("false"), COURTS).count() == 0
 
 
+def test_linked_names_of_four_letters(spark):
+    rows = [("attorney", "", n) for n in ("Harold Diaz", "Harold Dias", "Theresa Ruiz", "Theresa Riuz", "Walter Cole")]
+    got = {r.name: r.cluster for r in names.linked_names(spark.createDataFrame(rows, "field_name string, case_number string, name string"), COURTS).collect()}
+    assert got["Harold Diaz"] == got["Harold Dias"] and got["Theresa Ruiz"] == got["Theresa Riuz"] and len(set(got.values())) == 3
+
+
 # --- 6: scans ----------------------------------------------------------------------------------
 
 
