@@ -63,6 +63,10 @@ ALIASES = {
 }
 #: Words around a mention that do not change what is meant.
 NOISE = frozenset("re doc the a an amended sealed filed signed copy no nr".split())
+#: Words that do not tell one entry from another where the rest agrees.
+SMALL = frozenset("to for of in on".split())
+#: Shares of words in common from which a value stands for an entry: of both, and of the entry alone where the value adds none.
+OVERLAP, LEAST_OF_NAME = 0.75, 2 / 3
 #: What the short words of court names stand for.
 COURT_WORDS = {
     "ct": "court", "dist": "district", "cty": "county", "cnty": "county", "co": "county", "super": "superior", "sup": "superior", "app": "appeal",
@@ -198,8 +202,36 @@ class ListMapper:
         if not found:  # a space typed in the wrong place, or left out
             joined = "".join(words)
             least = list({i for n, i in self.names.items() if len(joined) >= 5 and " " in n and slip(joined, n.replace(" ", ""))})
+        if not least:
+            scores: dict[int, float] = {}
+            for names in self.by_size.values():
+                for name, item in names:
+                    scores[item] = max(scores.get(item, 0), self.overlap(words, name))
+            least = [i for i, x in scores.items() if x and x == max(scores.values())]
         return least[0] if len(least) == 1 else 0
 
+    @staticmethod
+    def overlap(words: list[str], name: list[str]) -> float:
+        """Share of words in common of two sets of words, one slip a word allowed; 0 below OVERLAP.
+
+        Small words do not count where the value adds no word to the name.
+        """
+
+        def alike(a: list[str], b: list[str]) -> int:
+            left = list(b)
+            for w in sorted(a, key=lambda w: w not in left):
+                near = w if w in left else next((n for n in left if same_word(n, w)), None)
+                if near is not None:
+                    left.remove(near)
+            return len(b) - len(left)
+
+        a, b = ([w for w in v if w not in SMALL] for v in (words, name))
+        n, m = alike(words, name), alike(a, b)
+        if m >= 2 and m == len(a) and m >= LEAST_OF_NAME * len(b):
+            return m / len(b)
+        score = n / (len(words) + len(name) - n) if n else 0
+        return score if score >= OVERLAP else 0
+
     @staticmethod
     def similar(words: list[str], name: list[str]) -> int | None:
         """Slips (at most one) between two sets of words that are alike word for word; None if they aren't."""

@@ -209,6 +209,11 @@ def test_types(value, want):
     assert mapping.ListMapper("document_type", [(1, "order"), (2, "motion_to_dismiss")])(value) == want
 
 
+@pytest.mark.parametrize("value, want", [("motoin to dimiss", 2), ("defendants motoin to dismiss", 2), ("motoin dismiss", 2), ("motoin to remand", 0), ("purchase ordre", 0), ("summary judgmnt", 3), ("motion", 0), ("motion for summary disposition", 0)])
+def test_types_with_several_slips(value, want):
+    assert mapping.ListMapper("document_type", [(1, "order"), (2, "motion_to_dismiss"), (3, "motion_summary_judgment")])(value) == want
+
+
 def test_map_values(spark):
     schema = "result_id bigint, document_type string, legal_category string, court_info struct<court_name: string>, item_id int, field_name string"
     rows = [(1, "ORDER", None, None, 9, "z"), (1, "ORDER", None, None, 9, "z"), (2, "order", " ", ("",), 9, "z"), (3, None, "civ.", ("N.D. Norv.",), 9, "z")]
