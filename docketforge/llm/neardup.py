@@ -1,16 +1,23 @@
-"""Problem 3: near-duplicate documents by locality-sensitive hashing.
-
-Each document gets minima of its three-word sequences under many hash functions. A tree sorts
-all documents into regions by a label of such minima, and all pairs of a region are compared
-by short sketches of their minima: in one task where the region is small, in a grid of salted
-cells where it is crowded. Pairs whose sketches agree are compared exactly by their three-word
-sequences, and within the classes found in this way every pair of different texts is too.
+"""Problem 3: near-duplicate documents by an LSH forest.
+
+Each document gets minima of its three-word sequences under many hash functions. Every tree is
+an order of all documents by a label, a run of such minima. Documents with a common prefix
+are neighbours in that order; a region holds those whose common prefix is at least the region's
+depth, and the depth of a region grows until it is small. All neighbours of a region are
+candidates: they are compared by short sketches of their minima, and where these agree by
+their three-word sequences.
+
+A pair at the threshold shares the first DEPTH minima in some tree almost surely, but not more
+of them, so what a deeper region leaves apart is found in an exact way. The three-word sequences
+that crowd regions (boilerplate) are counted over all documents of such regions. Two of these
+documents that reach the threshold either share a good part of their other, rarer sequences,
+and then a minimum over the rarer ones alone, whose regions are small by construction; or
+both consist mostly of the crowding sequences, and these are compared in a grid of salted cells.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +28,18 @@ from pyspark.sql.window import Window
 
 from .common import components, cut, spread, table
 
-#: A pair at the threshold shares the labels of one tree with chance 1/8, so 0.9997 of such pairs meet.
+#: A pair at the threshold shares the first DEPTH minima of one tree with chance 1/8, so 0.9997 of such pairs meet.
 TREES = 60
-#: Minima in a label.
-DEPTH = 3
-#: Documents in a region from which its pairs are made in a grid of cells, and the salts of the grid.
-CROWD, SALTS = 2048, 16
+#: Minima from which a common prefix makes a region, and those after which a region is not divided further.
+DEPTH, DEEPEST = 3, 48
+#: Documents in a region from which it is divided by more minima.
+CROWD = 2048
+#: Documents of crowded regions in which a sequence occurs from which it counts as crowding them.
+HEAVY = CROWD // 4
+#: A document is mostly made of crowding sequences if it has so many of them for each other one.
+#: If one of a pair is not, then a threshold of 0.5 means that their other sequences have at least (1 - MOSTLY) / 2
+#: in common, and one of TREES * DEPTH minima over them is equal with chance 1 - (1 - 0.1) ** 180 > 1 - 1e-8.
+MOSTLY = 0.8
 #: Bits of each minimum in a sketch.
 BITS = 4
 #: Words of the sequences that find candidates and decide.
@@ -35,6 +48,8 @@ MIN_WORDS = 40
 #: Deviations below its expected number of equal parts of the sketch, down to which a pair at the threshold is compared exactly.
 DEVIATIONS = 4
 SIMILARITY = 0.5
+#: Copies of one text whose pairs are listed by one task.
+COPIES = 1000
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _word = re.compile(r"[^\W_]+").findall
@@ -80,10 +95,14 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def minima(s: np.ndarray) -> bytes:
+    """The minima of sequences under all hash functions; their low halves tell them apart."""
+    s = np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    return ((s[None, :] ^ _XOR[:, None]) * _MULT[:, None]).min(axis=1).astype("<u2").tobytes()
+
+
 def signature(h: np.ndarray) -> bytes:
-    s = (shingles(h, DECIDE_WORDS) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    s = np.unique(s)
-    return (((s[None, :] ^ _XOR[:, None]) * _MULT[:, None]).min(axis=1)).astype("<u2").tobytes()  # the low half tells minima apart
+    return minima(shingles(h, DECIDE_WORDS))
 
 
 def _sign(batches):
@@ -102,16 +121,38 @@ def _minima(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), TREES * DEPTH)
 
 
+def _mixed(x: np.ndarray, salt) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31)) ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _labels(batches):
-    """The region of each document in each tree."""
+    """The region of each document in each tree: the first DEPTH minima of its label."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sig = _minima(batch.column(1)).astype(np.uint64).reshape(-1, TREES, DEPTH)
         for t in range(TREES):
-            region = (sig[:, t, 0] << np.uint64(32) | sig[:, t, 1] << np.uint64(16) | sig[:, t, 2]) * np.uint64(0x9E3779B97F4A7C15)
-            region = (region ^ (region >> np.uint64(31)) ^ np.uint64(t)) * np.uint64(0xD6E8FEB86659FD93)
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0)], names=["region", "doc_id"])
+            prefix = sig[:, t, 0]
+            for k in range(1, DEPTH):
+                prefix = prefix << np.uint64(16) | sig[:, t, k]
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(prefix, t).view(np.int64)), batch.column(0), pa.array(np.full(batch.num_rows, t, np.int32))], names=["region", "doc_id", "tree"])
+
+
+def _deeper(start: int, stop: int):
+    """Rows (region, doc_id, tree, sig) with the region of the prefix of stop minima; a label goes on with the minima of the next trees."""
+
+    def run(batches):
+        n = TREES * DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, tree, sig = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.int64), _minima(batch.column(3)).astype(np.uint64)
+            for k in range(start, stop):
+                region = _mixed(region ^ sig[np.arange(len(region)), (tree * DEPTH + k) % n], k)
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(1), batch.column(2)], names=["region", "doc_id", "tree"])
+
+    return run
 
 
 def _sketches(batches):
@@ -199,6 +240,36 @@ def _meet_in_cell(threshold):
     return run
 
 
+def _sequences(batches):
+    """(sequence, n): in how many documents each sequence occurs, by batch."""
+    for batch in batches:
+        sets = [np.unique(shingles(word_hashes(t), DECIDE_WORDS)) for t in batch.column(1).to_pylist()]
+        at, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], names=["sequence", "n"])
+
+
+def _exploded(batches):
+    """(doc_id, sequence) of every sequence of every document, a few documents at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            sets = [np.unique(shingles(word_hashes(t), DECIDE_WORDS)) for t in part.column(1).to_pylist()]
+            ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "sequence"])
+
+
+def _rare_regions(batches):
+    """(region, doc_id) for each minimum over the rare sequences (doc_id, sequences) of a document."""
+    for batch in batches:
+        ids, keys = [], []
+        for d, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+            sig = np.frombuffer(minima(seq.values.to_numpy().view(np.uint64)), "<u2").astype(np.uint64)
+            keys.append(_mixed(sig ^ (np.arange(len(sig), dtype=np.uint64) << np.uint64(20)), 1 << 40))
+            ids.append(np.full(len(sig), d))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["region", "doc_id"])
+
+
 def _sets(batches):
     for batch in batches:
         out = [np.unique(shingles(word_hashes(t), DECIDE_WORDS)).tobytes() for t in batch.column(1).to_pylist()]
@@ -230,6 +301,56 @@ def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(_compare(threshold), "a bigint, b bigint")
 
 
+def _neighbours(rows: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with agreeing sketches among the rows (region, doc_id) of each region; regions are small."""
+    size = F.count("*").over(Window.partitionBy("region"))
+    shared = cut(rows.select("region", "doc_id", size.alias("size")).where("size > 1").select("region", "doc_id"))
+    met = shared.join(sketches, "doc_id").select("region", "doc_id", "sketch")
+    return met.repartition("region").sortWithinPartitions("region").mapInArrow(_meet(threshold), "a bigint, b bigint")
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(region, n) of the regions of more than CROWD documents; counts are combined before they are shuffled."""
+    return cut(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
+
+
+def _divided(hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (region, doc_id, tree) of crowded regions in regions of so much more depth that they are small."""
+    small, depth = None, DEPTH
+    while depth < DEEPEST and hot.limit(1).count():
+        rows = cut(hot.join(reps.select("doc_id", "sig"), "doc_id").select("region", "doc_id", "tree", "sig").mapInArrow(_deeper(depth, 2 * depth), "region bigint, doc_id bigint, tree int"))
+        still = _crowded(rows)
+        cool = rows.join(still, "region", "left_anti")
+        small = cool if small is None else small.unionByName(cool)
+        hot, depth = rows.join(still, "region", "left_semi"), 2 * depth
+    return small
+
+
+def _rest_of_crowds(hot: DataFrame, src: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with agreeing sketches among the documents of crowded regions hot(region, doc_id, n).
+
+    Pairs that share rare sequences meet by minima over these; no such region has more than HEAVY
+    documents. Pairs of documents made mostly of heavy sequences meet in the grid of their region.
+    """
+    ids = cut(hot.select("doc_id").distinct())
+    texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heavy = cut(texts.mapInArrow(_sequences, "sequence bigint, n bigint").groupBy("sequence").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY))
+    every = texts.mapInArrow(_exploded, "doc_id bigint, sequence bigint")
+    marked = every.join(heavy.select("sequence", F.lit(True).alias("is_heavy")), "sequence", "left")
+    # a document's rare sequences are at most its own
+    per = cut(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("is_heavy").isNull(), F.col("sequence"))).alias("rare"), F.count("is_heavy").alias("n_heavy")))
+    rare = per.where(F.size("rare") > 0).select("doc_id", "rare").mapInArrow(_rare_regions, "region bigint, doc_id bigint")
+    near = _neighbours(rare, sketches, threshold)
+    mostly = hot.join(per.where(F.col("n_heavy") >= MOSTLY * F.size("rare")).select("doc_id"), "doc_id", "left_semi")
+    # the grid has as many salts as keep a cell small; each row goes to the cells of its salt
+    salts = F.ceil(F.col("n") / (CROWD // 2)).cast("int")
+    salted = mostly.select("region", "doc_id", salts.alias("salts"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    grid = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sketches, "doc_id")
+    grid = grid.select("region", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "doc_id", "sketch")
+    far = grid.groupBy("region", "lo", "hi").applyInArrow(_meet_in_cell(threshold), "a bigint, b bigint")
+    return near.unionByName(far)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of docs(doc_id, text).
 
@@ -244,27 +365,20 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
     first = signed.groupBy("copy_key").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "copy_key").join(first, "copy_key").select("doc_id", "rep").distinct()
     reps = signed.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select("doc_id", "sig").mapInArrow(_labels, "region bigint, doc_id bigint")
-    size = F.count("*").over(Window.partitionBy("region"))
-    shared = cut(rows.withColumn("size", size).where("size > 1").select("region", "doc_id", (F.col("size") > CROWD).alias("crowded")))
     sketches = reps.select("doc_id", "sig").mapInArrow(_sketches, "doc_id bigint, sketch binary")
-    met = shared.where("not crowded").join(sketches, "doc_id").select("region", "doc_id", "sketch")
-    met = met.repartition("region").sortWithinPartitions("region").mapInArrow(_meet(threshold), "a bigint, b bigint")
-    # a crowded region is a grid: each of its rows goes to the SALTS cells of its salt
-    salted = shared.where("crowded").withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)"))
-    grid = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(sketches, "doc_id")
-    grid = grid.select("region", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "doc_id", "sketch")
-    far = grid.groupBy("region", "lo", "hi").applyInArrow(_meet_in_cell(threshold), "a bigint, b bigint")
-    pairs = cut(met.unionByName(far).distinct())
-
+    rows = reps.select("doc_id", "sig").mapInArrow(_labels, "region bigint, doc_id bigint, tree int")
+    crowds = _crowded(rows)
+    if crowds.limit(1).count():
+        hot = cut(rows.join(crowds, "region"))
+        regions = rows.join(crowds, "region", "left_anti").unionByName(_divided(hot.drop("n"), reps))
+        met = _neighbours(regions, sketches, threshold).unionByName(_rest_of_crowds(hot, src, sketches, threshold))
+    else:
+        met = _neighbours(rows, sketches, threshold)
+    pairs = cut(met.distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     grams = cut(texts.mapInArrow(_sets, "doc_id bigint, grams binary"))
-    sure = cut(verified(pairs, grams, threshold))
-    comp = components(sure)
-    inside = comp.select("comp", F.col("node").alias("a")).join(comp.select("comp", F.col("node").alias("b")), "comp").where("a < b").select("a", "b")
-    more = verified(inside.join(sure, ["a", "b"], "left_anti"), grams, threshold)
-    return sure.unionByName(more), members
+    return cut(verified(pairs, grams, threshold)), members
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +386,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     b = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     apart = pairs.join(a, "a").join(b, "b").select("x", "y")
-    same = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    # the pairs of a large group of copies are listed by several tasks
+    sizes = members.groupBy(F.col("rep").alias("a")).agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("a", "parts")
+    copies = a.join(sizes, "a")
+    left = copies.select("a", "x", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"))
+    right = copies.select("a", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    same = left.join(right, ["a", "part"]).where("x < y").select("x", "y")
     both = apart.unionByName(same)
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
@@ -284,6 +403,6 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     links = ends.join(copies.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n_copies").alias("apart"))
     comp = components(pairs).withColumnRenamed("node", "rep")
-    per = reduce(lambda d, x: d.join(x, "rep", "left"), [links, comp], copies)
+    per = copies.join(links, "rep", "left").join(comp, "rep", "left")
     per = per.select("rep", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("apart", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     return members.join(per.where("n_links > 0"), "rep").select("doc_id", "class_id", "n_links")

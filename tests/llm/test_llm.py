@@ -153,32 +153,41 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_near_duplicates_with_scattered_edits(spark):
+    """One word in ten or so changed, evenly over the text: similarity 0.5 to 0.56, and no link over a third document."""
     rng = random.Random(7)
     texts, want = [], set()
-    for i in range(60):
+    for i in range(160):
         d = [f"w{rng.randrange(50000)}" for _ in range(300)]
         e = list(d)
+        at = list(range(0, 300, 10))
         while _jaccard(" ".join(d), " ".join(e)) > 0.56:
-            e[rng.randrange(len(e))] = f"x{rng.randrange(50000)}"
+            e[at.pop() if at else rng.randrange(300)] = f"x{rng.randrange(50000)}"
         texts += [" ".join(d), " ".join(e)]
         want.add((2 * i, 2 * i + 1))
+    assert all(0.5 <= _jaccard(texts[a], texts[b]) <= 0.56 for a, b in want)
     pairs, _ = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
-@pytest.mark.parametrize("crowd", [2048, 20])
-def test_near_duplicates_in_crowded_regions(spark, monkeypatch, crowd):
-    monkeypatch.setattr(neardup, "CROWD", crowd, raising=False)
+@pytest.mark.parametrize("crowd", [2048, 40])
+@pytest.mark.parametrize("kind", ["half", "most", "all"])
+def test_near_duplicates_in_crowded_regions(spark, monkeypatch, crowd, kind):
+    """Boilerplate shared by all: a part of each text, most of it, or nearly all (then all pairs are similar)."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "HEAVY", crowd // 4)
     rng = random.Random(11)
     fixed = " ".join(f"b{i}" for i in range(130))
-    texts, want = [], set()
-    for i in range(300):
-        own, some = ([f"w{rng.randrange(50000)}" for _ in range(n)] for n in (70, 60))
-        texts += [" ".join([fixed, *own]), " ".join([fixed, *own[: 70 - 60], *some])]
-        want.add((2 * i, 2 * i + 1))
-    assert all(_jaccard(texts[a], texts[b]) >= 0.5 for a, b in want) and _jaccard(texts[0], texts[2]) < 0.5
+    words, kept, n = {"half": (150, 100, 120), "most": (75, 20, 120), "all": (60, 0, 90)}[kind]
+    texts = []
+    for _ in range(n):
+        own, some = ([f"w{rng.randrange(50000)}" for _ in range(k)] for k in (words, words - kept))
+        texts += [" ".join([fixed, *own]), " ".join([fixed, *own[:kept], *some])]
+    want = {(i, j) for i in range(2 * n) for j in range(i + 1, 2 * n) if _jaccard(texts[i], texts[j]) >= 0.5}
+    assert len(want) == (n * (2 * n - 1) if kind == "all" else n)
     pairs, _ = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
-    assert {(r.a, r.b) for r in pairs.collect()} == want
+    got = {(r.a, r.b) for r in pairs.collect()}
+    # 3 in 10,000 pairs at the very threshold share no region of any tree
+    assert got <= want and len(want - got) <= (0.001 * len(want) if kind == "all" else 0)
 
 
 def test_near_duplicates_of_nothing(spark):
