@@ -21,6 +21,10 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 SPLIT_ASCII = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 
 
+#: Pairs of tokens whose neighbourhood is remembered.
+MAX_PAIRS = 2_000_000
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE file and which tokens may be neighbours."""
 
@@ -50,6 +54,8 @@ class Vocabulary:
         key = (self.ids[before], self.ids[after])
         known = self.beside.get(key)
         if known is None:
+            if len(self.beside) > MAX_PAIRS:
+                self.beside.clear()
             both = before + after
             known = self.merged([both[i : i + 1] for i in range(len(both))]) == [before, after]
             self.beside[key] = known
@@ -61,19 +67,15 @@ class Vocabulary:
 
 
 class TrieEncoder:
-    """Encodes batches of words. Memory is bounded: past max_words kept words it starts afresh."""
+    """Encodes batches of words. Memory is bounded: past max_words kept words the next batch starts afresh."""
 
     def __init__(self, vocabulary: Vocabulary, max_words: int = 400_000):
         self.v = vocabulary
         self.max_words = max_words
         self.known: dict[str, bytes] = {}
-        self.size: dict[str, int] = {}
 
     def learn(self, words) -> None:
         """Add distinct words: in sorted order a walk over them is the depth-first walk of their trie."""
-        if len(self.known) > self.max_words:
-            self.known.clear()
-            self.size.clear()
         v, ids, longest = self.v, self.v.ids, self.v.longest
         path: bytes = b""
         last: list[bytes] = [b""]  # last[n]: the last token of the first n bytes on the way down
@@ -99,7 +101,6 @@ class TrieEncoder:
                 end -= len(token)
             out.reverse()
             self.known[word] = array("i", out).tobytes()
-            self.size[word] = len(out)
 
     def split(self, text: str) -> list[str]:
         return _ascii(text) if text.isascii() else _any(text)
@@ -107,11 +108,10 @@ class TrieEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
         parts = [self.split(t) for t in texts]
-        fresh = set().union(*parts) if parts else set()
-        self.learn(fresh - self.known.keys())
+        if len(self.known) > self.max_words:
+            self.known.clear()
+        self.learn(set().union(*parts) - self.known.keys())
         get = self.known.__getitem__
-        if not fresh <= self.known.keys():  # the store was cleared
-            self.learn(fresh - self.known.keys())
         return [b"".join(map(get, p)) for p in parts]
 
     def count(self, texts: list[str]) -> list[int]:
