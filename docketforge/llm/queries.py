@@ -11,6 +11,7 @@ def queries() -> dict:
         "p1_unmatched": mapping.p1_unmatched,
         "p2_found": splitting.p2_found,
         "p2_pieces": splitting.p2_pieces,
+        "p2_rejoined": splitting.p2_rejoined,
         "p3_found": neardup.p3_found,
         "p3_groups": neardup.p3_groups,
         "p4_found": personal.p4_found,
@@ -34,4 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": """
             SELECT p.provider, d.doc_id FROM prompt_configs p JOIN documents d ON strlen(d.text) > p.max_text_length
         """,
+        "p2_rejoined": """
+            SELECT p.provider, d.doc_id, sha256(d.text) AS sha256, true AS fits FROM prompt_configs p, documents d WHERE d.text <> ''
+        """,
     }

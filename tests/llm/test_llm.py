@@ -44,6 +44,16 @@ def test_bounded_store_gives_the_same():
     texts = ["alpha beta gamma", "delta epsilon", "alpha zeta"]
     for t in texts:
         assert small.encode([t]) == big.encode([t])
+    for batch in (["a b c d e f"], ["a g h i j k l", "b m"], ["n o p q r", "a n"], []):
+        assert small.encode(batch) == big.encode(batch)
+    assert len(small.known) <= 3 + 9
+
+
+def test_neighbours_remembered_are_bounded(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
+    own = bpe.TrieEncoder(bpe.Vocabulary(VOCAB))
+    text = "extraordinarily misunderstood photosynthesis unquestionably"
+    assert np.frombuffer(own.encode([text])[0], "int32").tolist() == reference(text) and len(own.v.beside) <= 6
 
 
 def test_encode_column(spark):
@@ -96,8 +106,8 @@ def test_pack(spark):
 @pytest.mark.parametrize("limit, overlap", [(60, 0), (60, 20), (200, 50)])
 def test_split_round_trip(spark, limit, overlap):
     rng = random.Random(1)
-    words = ["plain", "naïve", "日本語", "𝒳𝒴", "sentence.", "end!\n\n", "x" * 130, "\r\n", "word"]
-    texts = [None, "", "short", "é" * 500, *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(25))]
+    words = ["plain", "naïve", "日本語", "𝒳𝒴", "sentence.", "end!\n\n", "x" * 130, "\r\n", "word", "\n" + " \t" * 150 + "\n", "y" * 59, "z" * 400, "\n\t\n"]
+    texts = [None, "", "short", "é" * 500, " " * 900, "\n" + " " * 700 + "\n", " " + "w" * 300, "\t" * 399 + "a", "l1 a\nl2\n" * 99, *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(25))]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, pieces int").drop("pieces")
     for r in splitting.split_text(df, limit, overlap).collect():
         if r.text is None:
@@ -112,6 +122,16 @@ def test_split_round_trip(spark, limit, overlap):
         splitting.split_text(df, 20, 15)
 
 
+def test_split_keeps_words_and_lines(spark):
+    text = "\n".join(["a line of words"] * 12) + " " + "w" * 300 + " the end of it"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    pieces = [p.text for p in splitting.split_text(df, 100, 0).first().pieces]
+    assert pieces[0].endswith("\n") and min(map(len, pieces[:-1])) > 1 and pieces[-1].endswith("the end of it")
+    long = "word. " * 40_000
+    got = splitting.split_text(spark.createDataFrame([(1, long)], "doc_id bigint, text string"), 60, 12).first().pieces
+    assert len(got) > 4000 and got[-1].start_byte + len(got[-1].text) == len(long) and "".join(p.text[p.overlap_bytes :] for p in got) == long
+
+
 def test_split_prefers_paragraphs(spark):
     text = "First paragraph here now.\n\nSecond one, longer than that. And more words follow here"
     df = spark.createDataFrame([(1, text), (1, text)], "doc_id bigint, text string")
@@ -384,6 +404,7 @@ def test_splitting_agrees_with_sql(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "prompt_configs"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    want = sorted(con.execute(queries.oracle_sql()["p2_found"]).fetchall())
-    assert sorted(tuple(r) for r in queries.queries()["p2_found"](spark, sf).collect()) == want
+    for name in ("p2_found", "p2_rejoined"):
+        want = sorted(con.execute(queries.oracle_sql()[name]).fetchall())
+        assert sorted(tuple(r) for r in queries.queries()[name](spark, sf).collect()) == want
     assert unicodedata.unidata_version
