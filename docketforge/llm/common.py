@@ -37,14 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
 
 
-def spread(df: DataFrame, *keys: str, rows_per_task: int | None = None) -> DataFrame:
-    """Share rows evenly over all cores when a scan gives fewer partitions than cores."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of cut tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share rows evenly over all cores when a scan gives fewer partitions than cores (a few small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    # a scan of many files has a partition for each of them, or for each block of a large one
+    if len(files) >= cores or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, *[F.col(k) for k in keys])
 
@@ -59,12 +69,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     lab = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    last = lab
     for _ in range(rounds):
         near = both.join(lab.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         met = lab.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = lab.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = cut(met.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        lab = new.select("node", "comp")
-        if new.where("comp <> old").limit(1).count() == 0:
+        settled = new.where("comp <> old").limit(1).count() == 0
+        forget(last)
+        last, lab = new, new.select("node", "comp")
+        if settled:
+            forget(both)
             return lab
     raise RuntimeError("components did not settle")

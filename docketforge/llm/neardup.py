@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, spread, table
+from .common import components, cut, forget, spread, table
 
 #: A pair at the threshold shares the first DEPTH minima of one tree with chance 1/8, so 0.9997 of such pairs meet.
 TREES = 60
@@ -301,10 +301,11 @@ def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(_compare(threshold), "a bigint, b bigint")
 
 
-def _neighbours(rows: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _neighbours(rows: DataFrame, sketches: DataFrame, threshold: float, scratch: list) -> DataFrame:
     """Pairs (a, b) with agreeing sketches among the rows (region, doc_id) of each region; regions are small."""
     size = F.count("*").over(Window.partitionBy("region"))
     shared = cut(rows.select("region", "doc_id", size.alias("size")).where("size > 1").select("region", "doc_id"))
+    scratch.append(shared)
     met = shared.join(sketches, "doc_id").select("region", "doc_id", "sketch")
     return met.repartition("region").sortWithinPartitions("region").mapInArrow(_meet(threshold), "a bigint, b bigint")
 
@@ -314,19 +315,20 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return cut(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
 
 
-def _divided(hot: DataFrame, reps: DataFrame) -> DataFrame:
+def _divided(hot: DataFrame, reps: DataFrame, scratch: list) -> DataFrame:
     """Rows (region, doc_id, tree) of crowded regions in regions of so much more depth that they are small."""
     small, depth = None, DEPTH
     while depth < DEEPEST and hot.limit(1).count():
         rows = cut(hot.join(reps.select("doc_id", "sig"), "doc_id").select("region", "doc_id", "tree", "sig").mapInArrow(_deeper(depth, 2 * depth), "region bigint, doc_id bigint, tree int"))
         still = _crowded(rows)
+        scratch += [rows, still]
         cool = rows.join(still, "region", "left_anti")
         small = cool if small is None else small.unionByName(cool)
         hot, depth = rows.join(still, "region", "left_semi"), 2 * depth
     return small
 
 
-def _rest_of_crowds(hot: DataFrame, src: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _rest_of_crowds(hot: DataFrame, src: DataFrame, sketches: DataFrame, threshold: float, scratch: list) -> DataFrame:
     """Pairs (a, b) with agreeing sketches among the documents of crowded regions hot(region, doc_id, n).
 
     Pairs that share rare sequences meet by minima over these; no such region has more than HEAVY
@@ -339,8 +341,9 @@ def _rest_of_crowds(hot: DataFrame, src: DataFrame, sketches: DataFrame, thresho
     marked = every.join(heavy.select("sequence", F.lit(True).alias("is_heavy")), "sequence", "left")
     # a document's rare sequences are at most its own
     per = cut(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("is_heavy").isNull(), F.col("sequence"))).alias("rare"), F.count("is_heavy").alias("n_heavy")))
+    scratch += [ids, heavy, per]
     rare = per.where(F.size("rare") > 0).select("doc_id", "rare").mapInArrow(_rare_regions, "region bigint, doc_id bigint")
-    near = _neighbours(rare, sketches, threshold)
+    near = _neighbours(rare, sketches, threshold, scratch)
     mostly = hot.join(per.where(F.col("n_heavy") >= MOSTLY * F.size("rare")).select("doc_id"), "doc_id", "left_semi")
     # the grid has as many salts as keep a cell small; each row goes to the cells of its salt
     salts = F.ceil(F.col("n") / (CROWD // 2)).cast("int")
@@ -368,17 +371,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
     sketches = reps.select("doc_id", "sig").mapInArrow(_sketches, "doc_id bigint, sketch binary")
     rows = reps.select("doc_id", "sig").mapInArrow(_labels, "region bigint, doc_id bigint, tree int")
     crowds = _crowded(rows)
+    scratch = [crowds]  # tables that only the candidates are made of
     if crowds.limit(1).count():
         hot = cut(rows.join(crowds, "region"))
-        regions = rows.join(crowds, "region", "left_anti").unionByName(_divided(hot.drop("n"), reps))
-        met = _neighbours(regions, sketches, threshold).unionByName(_rest_of_crowds(hot, src, sketches, threshold))
+        scratch.append(hot)
+        regions = rows.join(crowds, "region", "left_anti").unionByName(_divided(hot.drop("n"), reps, scratch))
+        met = _neighbours(regions, sketches, threshold, scratch).unionByName(_rest_of_crowds(hot, src, sketches, threshold, scratch))
     else:
-        met = _neighbours(rows, sketches, threshold)
+        met = _neighbours(rows, sketches, threshold, scratch)
     pairs = cut(met.distinct())
+    forget(*scratch)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     grams = cut(texts.mapInArrow(_sets, "doc_id bigint, grams binary"))
-    return cut(verified(pairs, grams, threshold)), members
+    sure = cut(verified(pairs, grams, threshold))
+    forget(pairs, grams)
+    return sure, members
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

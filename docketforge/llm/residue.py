@@ -213,8 +213,20 @@ def residue(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, kind string")
 
 
+def without_residue(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no residue, with all their columns; null, empty and blank texts stay."""
+    tables = ratios(prose_counts(docs.select(F.col(text).alias("text"))))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not (t and residue_of(t, tables)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +234,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents without residue."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(residue(_docs(spark, sf_dir)).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "lang", "source", "text")
+    """The documents without residue, filtered in the pass that judges them."""
+    return without_residue(_docs(spark, sf_dir))

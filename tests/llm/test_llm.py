@@ -86,6 +86,22 @@ def test_plan_places_every_item_once_and_overfills_nothing(capacity, sizes):
     assert len(fill) <= 1.7 * max(1, -(-total // capacity)) + 1
 
 
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_pack_fills_each_container_once(spark, monkeypatch, most):
+    """All pieces of all items come out once, whether sizes are ranked in one part or several; containers are numbered without gaps."""
+    monkeypatch.setattr(packing, "ITEMS", most)
+    rng = random.Random(3)
+    rows = [(p, d, rng.choice([4, 5, 7, 10, 20, 33, 50])) for p in (1, 2) for d in range(60)]
+    got = packing.pack(spark.createDataFrame(rows, "pack_id bigint, doc_id bigint, n_tokens int"), {1: 10, 2: 16}).collect()
+    for p, cap in ((1, 10), (2, 16)):
+        mine = [r for r in got if r.pack_id == p]
+        assert sorted((r.doc_id, r.first_token, r.n_tokens) for r in mine) == sorted((d, a, min(cap, n - a)) for q, d, n in rows if q == p for a in range(0, n, cap))
+        fill: dict = {}
+        for r in mine:
+            fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+        assert max(fill.values()) <= cap and set(fill) == set(range(len(fill)))
+
+
 def test_pack(spark):
     rows = [(1, 10, 7), (1, 11, 25), (1, 12, 3), (1, 12, 3), (1, 13, 0), (1, 14, None), (2, 10, 7)]
     items = spark.createDataFrame([(*r, "x") for r in rows], "pack_id bigint, doc_id bigint, n_tokens int, cap string")
