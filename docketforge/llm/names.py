@@ -1,23 +1,24 @@
 """Problem 5: linking the variant spellings of persons, companies, law firms and courts.
 
 Distinct spellings are parsed into words with a role. A symmetric-delete index on the telling
-words (every word and every word less one letter) brings together those that are one slip
-apart; connected words form a block, and within a block spellings are aligned word by word by
-optimal assignment, in which initials, cut words and nicknames may stand for full ones.
+words (every word and every word less one letter) finds words that are one slip apart, and
+with them pairs of spellings; no group is compared beyond these pairs. A pair is aligned word
+by word by optimal assignment, in which initials, cut words and nicknames may stand for full
+ones. Spellings written out are joined into entities; a shortened one joins an entity when all
+that it may stand for is that one.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
-from .mapping import ListMapper, court_words, fold, slip
+from .common import components, cut, forget, table
+from .mapping import COURT_COMMON, court_words, fold, slip
 
 #: Given names with their short forms.
 NICKNAMES = {
@@ -53,6 +54,8 @@ TRADES = {
 NOBODY = frozenset(
     "n a|na|unknown|none|does 1 through 20|pro se|tbd|tbc|see caption|see file|see attached|various|none assigned|not assigned|unassigned|anonymous|self represented|in propria persona|null|nil|redacted|sealed|john doe|jane doe|doe|to be determined".split("|")
 )
+#: Words of courts that a short form may leave out.
+RANKS = frozenset("superior district appeal".split())
 _DOES = re.compile(r"(?:does?|roes?|john does|jane does)(?: \d+)?(?: (?:through|to) \d+)?")
 
 
@@ -100,8 +103,8 @@ def given_of(word: str) -> set[str]:
     return out
 
 
-def parse(value: str, kind: str) -> Parsed | None:
-    """A spelling by the roles of its words; None if it names nobody."""
+def parse(value: str, kind: str, courts: frozenset = frozenset()) -> Parsed | None:
+    """A spelling by the roles of its words; None if it names nobody. courts: names of courts as they are written out."""
     text = fold(value)
     if not text or text in NOBODY or _DOES.fullmatch(text) or not re.search("[a-z]", text):
         return None
@@ -110,7 +113,9 @@ def parse(value: str, kind: str) -> Parsed | None:
     words = plain.split()
     if kind == "court":
         w = court_words(value)
-        return Parsed("court", tuple(sorted(w)), words=tuple(w)) if w else None
+        w = [next((r for r in sorted(RANKS) if slip(r, x)), x) for x in w if not any(len(c) >= 5 and slip(c, x) for c in COURT_COMMON)]
+        w = list(dict.fromkeys(w))
+        return Parsed("court", tuple(sorted(w)), full=value in courts) if w else None
     former = re.search(r"\bformerly\b", plain)
     if former:
         words = plain[: former.start()].split()
@@ -164,25 +169,83 @@ def _person(value: str, words: list[str]) -> Parsed | None:
     return Parsed("person", (family,), given=given, middle=middle, kin=kin, full=bool(given) and not cut_short)
 
 
-def assign(a: tuple[str, ...], b: tuple[str, ...]) -> int | None:
-    """Fewest slips over all one-to-one assignments of equal numbers of words; None if some words don't match."""
-    if len(a) != len(b):
-        return None
-    a, b = list(a), list(b)
-    for w in list(a):
-        if w in b:
-            a.remove(w)
-            b.remove(w)
-    if not a:
-        return 0
-    if len(a) > 6:
-        return None
-    best = None
-    for order in permutations(b):
-        if all(min(len(x), len(y)) >= 4 and slip(x, y) for x, y in zip(a, order)):
-            best = len(a)
-            break
-    return best
+def shortens(short: str, full: str) -> bool:
+    """Whether a word may be a short form of another: an initial, or letters of it in their order, the first one included."""
+    if not short or len(short) == 2 or len(short) >= len(full) or short[0] != full[0]:
+        return False
+    rest = iter(full)
+    return all(c in rest for c in short)
+
+
+def cheapest(cost: list[list[float]]) -> float:
+    """The least sum of costs of an assignment of every row to a column of its own (Kuhn 1955); rows are at most columns."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    inf = float("inf")
+    u, v, at, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        at[0], j = i, 0
+        least, done = [inf] * (m + 1), [False] * (m + 1)
+        while True:
+            done[j] = True
+            row, best, nxt = at[j], inf, 0
+            for k in range(1, m + 1):
+                if done[k]:
+                    continue
+                c = cost[row - 1][k - 1] - u[row] - v[k]
+                if c < least[k]:
+                    least[k], way[k] = c, j
+                if least[k] < best:
+                    best, nxt = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    u[at[k]] += best
+                    v[k] -= best
+                else:
+                    least[k] -= best
+            j = nxt
+            if not at[j]:
+                break
+        while j:
+            at[j] = at[way[j]]
+            j = way[j]
+    return -v[0]
+
+
+#: Costs of a pair of words: equal, one slip apart, a short form; more than all others together: no pair.
+SLIP, SHORT, NEVER = 1.0, 1.5, 1e6
+
+
+def word_cost(a: str, b: str, short: bool) -> float:
+    if a == b:
+        return 0.0
+    if min(len(a), len(b)) >= 4 and slip(a, b):
+        return SLIP
+    return SHORT if short and (shortens(a, b) or shortens(b, a)) else NEVER
+
+
+def assign(a: tuple[str, ...], b: tuple[str, ...], short: bool = False, spare: frozenset = frozenset()) -> float | None:
+    """The least cost of an assignment of the words of a to those of b, or None if some word has no match.
+
+    Only words of spare may be left over, and only on one side, for the other side names less.
+    """
+    left, right = list(a), list(b)
+    for w in a:  # equal words belong together
+        if w in right:
+            left.remove(w)
+            right.remove(w)
+    if len(left) > len(right):
+        left, right = right, left
+    if len(left) < len(right):
+        # what one side has beside the other is of the spare words, and enough is left to tell
+        over = sorted((w for w in right if w in spare), key=right.index)[: len(right) - len(left)]
+        if len(over) < len(right) - len(left) or min(len(a), len(b)) < 2:
+            return None
+        for w in over:
+            right.remove(w)
+    if not left:
+        return 0.0
+    cost = cheapest([[word_cost(x, y, short) for y in right] for x in left])
+    return cost if cost < NEVER else None
 
 
 def given_alike(a: str, b: str) -> bool:
@@ -222,6 +285,8 @@ def same(a: Parsed, b: Parsed) -> bool:
         return False
     if a.kind == "person":
         return same_person(a, b)
+    if a.kind == "court":
+        return assign(a.keys, b.keys, short=True, spare=RANKS) is not None
     if a.form and b.form and a.form != b.form:
         return False
     if a.trade and b.trade and a.trade != b.trade:
@@ -230,75 +295,18 @@ def same(a: Parsed, b: Parsed) -> bool:
 
 
 def marks(p: Parsed) -> set[str]:
-    """Marks of which two spellings of one entity share one: letters that a given name may begin with, else the kind."""
+    """Marks of which two spellings of one entity share one: letters that a given name may begin with; those that the words of a
+    court begin with, less one; else the kind."""
+    if p.kind == "court":
+        first = sorted(w[0] for w in p.keys if w not in RANKS)
+        return {"".join(first)} | {"".join(first[:i] + first[i + 1 :]) for i in range(len(first))}
     if p.kind != "person":
         return {p.kind}
     return set(p.given[:2]) | {n[0] for n in given_of(p.given)} or {""}
 
 
-class _Sets:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def link(names: list[Parsed]) -> list[int]:
-    """A cluster number for each name of a block.
-
-    Names written out are linked first. An initial, cut name or shortened company is linked
-    when all the written-out names that it may stand for are one entity, preferring those with
-    the same telling words; where it may stand for several it stays apart.
-    """
-    n = len(names)
-    sets = _Sets(n)
-    whole = [i for i in range(n) if names[i].full and (names[i].kind not in ("company", "firm") or names[i].form)]
-    by: dict[tuple, list[int]] = {}
-    for i in whole:
-        by.setdefault((names[i].keys, names[i].given, names[i].middle, names[i].kin, names[i].trade, names[i].form), []).append(i)
-    firsts = [v[0] for v in by.values()]
-    for v in by.values():
-        for i in v[1:]:
-            sets.join(v[0], i)
-    with_mark: dict[str, list[int]] = {}
-    for i in firsts:
-        near = {j for m in marks(names[i]) for j in with_mark.get(m, ())}
-        for j in sorted(near):
-            if sets.find(i) != sets.find(j) and same(names[i], names[j]):
-                sets.join(i, j)
-        for m in marks(names[i]):
-            with_mark.setdefault(m, []).append(i)
-    full = set(whole)
-    rest = [i for i in range(n) if i not in full]
-    loose: list[int] = []
-    for i in rest:
-        fits = [j for j in sorted({j for m in marks(names[i]) for j in with_mark.get(m, ())}) if same(names[i], names[j])]
-        exact = [j for j in fits if names[j].keys == names[i].keys]
-        told = [j for j in exact or fits if names[i].middle and names[j].middle == names[i].middle]
-        roots = {sets.find(j) for j in told or exact or fits}
-        if len(roots) == 1:
-            sets.join(i, roots.pop())
-        elif not fits:
-            loose.append(i)
-        else:
-            # it may stand for several: only equal readings belong together
-            for j in rest:
-                if j < i and names[j] == names[i]:
-                    sets.join(i, j)
-    for x, i in enumerate(loose):
-        for j in loose[x + 1 :]:
-            if same(names[i], names[j]):
-                sets.join(i, j)
-    return [sets.find(i) for i in range(n)]
+def written_out(p: Parsed) -> bool:
+    return p.full and (p.kind not in ("company", "firm") or bool(p.form))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,57 +322,107 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("trim(name) <> ''").distinct()
 
 
-def _index(courts: list[tuple[int, str]]):
-    """(field_name, case_number, name, word, variant): each telling word with its symmetric deletes."""
+#: Spellings in a block from which it is compared in a grid of cells.
+BLOCK = 2000
+_PARSED: dict[tuple, Parsed | None] = {}
+
+
+def _parsed(value: str, kind: str, courts: frozenset) -> Parsed | None:
+    key = (value, kind)
+    if key not in _PARSED:
+        if len(_PARSED) > 200_000:
+            _PARSED.clear()
+        _PARSED[key] = parse(value, kind, courts)
+    return _PARSED[key]
+
+
+def _spellings(courts: frozenset):
+    """(field_name, case_number, name) -> with word and mark for each telling word and mark, whether it is written out, and its reading."""
 
     def run(batches):
-        mapper = ListMapper("court_name", courts)
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for fld, case, name in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                p = parse(name, fld)
+                p = parse(name, fld, courts)
                 if p is None:
                     continue
-                item = mapper(name) or next((i for i, label in courts if label == name), 0) if fld == "court" else 0
-                words = (f"#{item}",) if item else tuple(dict.fromkeys(w for w in p.keys if len(w) >= 4)) or p.keys[:1]
+                words = tuple(dict.fromkeys(w for w in p.keys if len(w) >= 4)) or p.keys[:1]
                 for w in words:
-                    for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) >= 4 and not item)}:
-                        for c, x in zip(cols, (fld, case, name, w, v)):
+                    for m in marks(p):
+                        for c, x in zip(cols, (fld, case, name, w, m, written_out(p), repr(p))):
                             c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["field_name", "case_number", "name", "word", "variant"])
+            kinds = [pa.string()] * 5 + [pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["field_name", "case_number", "name", "word", "mark", "full", "reading"])
 
     return run
 
 
-def _link_blocks(batches):
-    """Rows (field_name, case_number, block, name, word) sorted by block -> (field_name, case_number, cluster, name)."""
-    out: tuple[list, list, list, list] = ([], [], [], [])
+def _variants(batches):
+    """(field_name, case_number, word, variant): each word and, if it may slip, each word less one letter."""
+    for batch in batches:
+        cols: tuple[list, ...] = ([], [], [], [])
+        for fld, case, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if len(w) >= 4)}:
+                for c, x in zip(cols, (fld, case, w, v)):
+                    c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["field_name", "case_number", "word", "variant"])
+
+
+def _pair(a: Parsed, b: Parsed) -> tuple[int, bool, bool] | None:
+    """How two spellings go together: 0 both written out, 1 the first short and the second written out, 2 both short; or not at all."""
+    x, y = written_out(a), written_out(b)
+    if not same(a, b):
+        return None
+    return (0 if x and y else 2 if x == y else 1), a.keys == b.keys, bool(a.middle) and a.middle == b.middle
 
-    def close(key, names, word):
-        ids = [0] * len(names) if word.startswith("#") else link([parse(n, key[0]) for n in names])
-        for n, i in zip(names, ids):
-            for c, x in zip(out, (key[0], key[1], names[i], n)):
-                c.append(x)
 
-    def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["field_name", "case_number", "cluster", "name"])
-        for c in out:
-            c.clear()
-        return batch
+def _compare_cells(courts: frozenset):
+    """Rows (cell, diagonal, side, id, field_name, name) sorted by cell -> pairs (a, b, kind, exact, told).
 
-    key, names, word = None, [], ""
-    for batch in batches:
-        for fld, case, block, name, w in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (fld, case, block) != key:
-                if key:
-                    close(key, names, word)
-                key, names, word = (fld, case, block), [], w
-            names.append(name)
-        if len(out[0]) >= 4096:
-            yield flush()
-    if key:
-        close(key, names, word)
-    yield flush()
+    The spellings of side 0 are compared with those of side 1, and in a cell of the diagonal with
+    each other. A cell holds at most some thousand spellings. Of kind 1 a is the short one.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+
+    def pairs(rows):
+        own = [(i, _parsed(n, f, courts)) for _, side, i, f, n in rows if not side]
+        other = [(i, _parsed(n, f, courts)) for _, side, i, f, n in rows if side]
+        diagonal = any(d for d, *_ in rows)
+        for k, (i, p) in enumerate(own):
+            for j, q in own[k + 1 :] + other if diagonal else other:
+                how = _pair(p, q) if i != j else None
+                if how:
+                    a, b = ((j, i) if written_out(p) else (i, j)) if how[0] == 1 else (min(i, j), max(i, j))
+                    yield (a, b, *how)
+
+    def batch_of(out):
+        cols = list(zip(*out)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "kind", "exact", "told"])
+
+    def run(batches):
+        cell, rows, out = None, [], []
+        for batch in batches:
+            for c, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if c != cell:
+                    out += pairs(rows)
+                    cell, rows = c, []
+                    if len(out) > 8192:
+                        yield batch_of(out)
+                        out = []
+                rows.append(row)
+        out += pairs(rows)
+        yield batch_of(out)
+
+    return run
+
+
+def _near_words(words: DataFrame) -> DataFrame:
+    """Pairs (field_name, case_number, x, y), x < y, of words one slip apart: one edit, or an exchange of neighbours."""
+    key = ["field_name", "case_number"]
+    variant = words.mapInArrow(_variants, "field_name string, case_number string, word string, variant string")
+    met = variant.withColumnRenamed("word", "x").join(variant.withColumnRenamed("word", "y"), [*key, "variant"]).where("x < y").select(*key, "x", "y").distinct()
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    return met.where((F.levenshtein("x", "y") <= 1) | ((F.length("x") == F.length("y")) & (F.levenshtein("x", "y") == 2) & (letters(F.col("x")) == letters(F.col("y")))))
 
 
 def linked_names(names: DataFrame, courts: list[tuple[int, str]]) -> DataFrame:
@@ -372,28 +430,49 @@ def linked_names(names: DataFrame, courts: list[tuple[int, str]]) -> DataFrame:
 
     Names of one field and case with the same cluster stand for one entity. Null, blank and
     placeholder values are left out; repeated rows count once; an empty table gives an empty
-    result. The courts of the reference list are (item_id, label). A block holds the distinct
-    spellings that share a telling word up to a slip, however many rows bear them.
+    result. The courts of the reference list (item_id, label) are those written out.
+
+    A block holds the distinct spellings with one telling word and mark, and those with a later
+    word one slip apart; the rows that bear them do not count. Only spellings of one word are
+    compared with each other and with these others, so words that slip into one another in a chain
+    do not make one block. A large block is compared in a grid of cells.
     """
+    out = frozenset(label for _, label in courts)
     own = names.select("field_name", "case_number", "name").where("trim(name) <> ''").distinct()
-    index = cut(own.mapInArrow(_index(courts), "field_name string, case_number string, name string, word string, variant string"))
-    word = index.select("field_name", "case_number", "word", "variant").distinct()
-    node = F.xxhash64("field_name", "case_number", "word")
-    keyed = word.select("field_name", "case_number", "variant", "word", node.alias("id"))
-    key = ["field_name", "case_number", "variant"]
-    met = keyed.select(*key, F.col("word").alias("x"), F.col("id").alias("a")).join(keyed.select(*key, F.col("word").alias("y"), F.col("id").alias("b")), key)
-    # one slip apart: one edit, or an exchange of neighbours (two edits that keep length and letters)
-    near = met.where("a < b").select("a", "b", "x", "y").distinct()
-    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    near = near.where((F.levenshtein("x", "y") <= 1) | ((F.length("x") == F.length("y")) & (F.levenshtein("x", "y") == 2) & (letters(F.col("x")) == letters(F.col("y")))))
-    comp = components(near.select("a", "b"))
-    words = index.select("field_name", "case_number", "name", "word").distinct().withColumn("node", node)
-    block = words.join(comp, "node", "left").withColumn("block", F.coalesce("comp", "node"))
-    # a name with several telling words belongs to the least of their blocks
-    one = block.groupBy("field_name", "case_number", "name").agg(F.min(F.struct("block", "word")).alias("m")).select("field_name", "case_number", "name", "m.block", "m.word")
-    key = ["field_name", "case_number", "block"]
-    sorted_blocks = one.repartition(*key).sortWithinPartitions(*key, "name").select(*key, "name", "word")
-    return sorted_blocks.mapInArrow(_link_blocks, "field_name string, case_number string, cluster string, name string")
+    key = ["field_name", "case_number"]
+    index = cut(own.mapInArrow(_spellings(out), "field_name string, case_number string, name string, word string, mark string, full boolean, reading string").withColumn("id", F.xxhash64(*key, "name")))
+    near = cut(_near_words(index.select(*key, "word").distinct()))
+    base = index.select(*key, "word", "mark", "id", "name")
+    foreign = base.join(near.select(*key, F.col("y").alias("word"), "x"), [*key, "word"]).select(*key, F.col("x").alias("word"), "mark", "id", "name")
+    rows = base.withColumn("side", F.lit(0)).unionByName(foreign.withColumn("side", F.lit(1)))
+    block = F.xxhash64(*key, "word", "mark")
+    rows = cut(rows.select(block.alias("block"), "side", "id", "field_name", "name"))
+    large = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    sized = rows.join(large, "block", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1)))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    cells = sized.withColumn("part", part).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # cell (i, j): the own spellings of part i against the others of part j and, for i < j, the own ones of part j
+    cell = lambda rows, i, j, side: rows.select(F.xxhash64("block", i, j).alias("cell"), (F.col(i) == F.col(j)).alias("diagonal"), F.lit(side).alias("side"), "id", "field_name", "name")
+    grid = cell(cells.where("side = 0"), "part", "k", 0).unionByName(cell(cells.where("side = 0 and k < part"), "k", "part", 1)).unionByName(cell(cells.where("side = 1"), "k", "part", 1))
+    met = grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_cells(out), "a bigint, b bigint, kind int, exact boolean, told boolean")
+    pairs = cut(met.groupBy("a", "b", "kind").agg(F.bool_or("exact").alias("exact"), F.bool_or("told").alias("told")))
+    forget(rows, near)
+
+    nodes = index.groupBy("id").agg(F.first("field_name").alias("field_name"), F.first("case_number").alias("case_number"), F.first("name").alias("name"), F.first("full").alias("full"), F.first("reading").alias("reading"))
+    fits = pairs.where("kind = 1")
+    loose = pairs.where("kind = 2").join(fits.select("a"), "a", "left_anti").join(fits.select(F.col("a").alias("b")), "b", "left_anti")
+    comp = cut(components(pairs.where("kind = 0").select("a", "b").unionByName(loose.select("a", "b"))))
+    root = nodes.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("root"))
+    told = fits.join(root.select(F.col("id").alias("b"), "root"), "b")
+    # of what a short spelling may stand for, the same words count before others, and of these the same middle initial
+    tier = F.struct(F.col("exact"), F.col("told"))
+    best = told.groupBy("a").agg(F.max(tier).alias("t"))
+    top = told.join(best, "a").where((F.col("exact") == F.col("t.exact")) & (F.col("told") == F.col("t.told")) | ((F.col("exact") == F.col("t.exact")) & ~F.col("t.told")))
+    chosen = top.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumnRenamed("a", "id")
+    by_reading = nodes.groupBy(*key, "reading").agg(F.min("id").alias("same_reading"))
+    placed = nodes.join(root, "id").join(chosen, "id", "left").join(by_reading, [*key, "reading"])
+    cluster = F.when(F.col("lo").isNull(), F.when(F.col("full"), F.col("root")).otherwise(F.col("root"))).when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("same_reading"))
+    return placed.select(*key, cluster.cast("string").alias("cluster"), "name")
 
 
 def _courts(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
