@@ -2,14 +2,18 @@
 
 An automaton over all canonical names and aliases finds every mention embedded in a value;
 the longest mentions that do not overlap win, and a value whose remaining words mean nothing
-is mapped to what its mentions agree on. Other values go to token-set similarity, in which
-two words are equal if they differ by one typing slip.
+is mapped to what its mentions agree on. Other values go to token-set similarity: the share
+of the two sets of words that is in common, where two words are equal if they differ by one
+typing slip or, in court names, if one is a short form of the other. In court names a word
+counts the more the fewer entries have it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 
 import ahocorasick
 import pyarrow as pa
@@ -30,9 +34,9 @@ ALIASES = {
         "motion_for_reconsideration": ["motion to reconsider", "mot for recons", "reconsideration motion"],
         "motion_to_amend": ["motion for leave to amend", "amendment motion", "mot to amend"],
         "motion_for_continuance": ["continuance request motion", "mot for cont", "motion to continue hearing"],
-        "order": ["court order", "signed order", "ord", "beschluss order", "beschluss"],
-        "ruling": ["court ruling", "bench ruling", "rulling"],
-        "judgment": ["final judgment", "judgement", "jdgmt", "j entered judgment"],
+        "order": ["court order", "signed order", "ord", "beschluss"],
+        "ruling": ["court ruling", "bench ruling"],
+        "judgment": ["final judgment", "judgement", "jdgmt"],
         "sentence": ["sentencing", "sentence imposed", "criminal sentence"],
         "injunction": ["permanent injunction", "preliminary injunction", "injunctive relief", "inj"],
         "brief": ["legal brief", "opening brief", "brief on appeal", "br"],
@@ -43,30 +47,34 @@ ALIASES = {
         "docket_entry": ["docket line", "docket minute entry", "dkt entry", "dkt ent"],
         "notice": ["notice of hearing", "notice of filing", "ntc"],
         "stipulation": ["joint stipulation", "stipulated agreement", "stip"],
-        "correspondence": ["letter correspondence", "correspondance", "corresp"],
+        "correspondence": ["letter", "corresp"],
         "transcript": ["hearing transcript", "deposition transcript", "transcpt", "tr"],
         "evidence": ["item of evidence", "evidence exhibit", "evid"],
-        "other": ["other type", "otros other", "otros", "oth"],
+        "other": ["other type", "otros", "oth"],
     },
     "legal_category": {
-        "Criminal Law": ["crim", "crim law", "criminal", "crimnal law", "strafrecht", "derecho penal"],
+        "Criminal Law": ["crim", "crim law", "criminal", "strafrecht", "derecho penal"],
         "Civil Law": ["civ", "civil", "civil matters", "zivilrecht", "droit civil"],
-        "Contract Law": ["contract", "contracts", "law of contracts", "k law contract", "vertragsrecht"],
+        "Contract Law": ["contract", "contracts", "law of contracts", "vertragsrecht"],
         "Family Law": ["fam", "family", "family matters", "familienrecht", "derecho de familia"],
-        "Property Law": ["property", "prop law", "propery law", "real property law", "droit des biens"],
-        "Employment Law": ["empl", "employment", "employement law", "labor employment", "arbeitsrecht"],
+        "Property Law": ["property", "prop law", "real property law", "droit des biens"],
+        "Employment Law": ["empl", "employment", "labor employment", "arbeitsrecht"],
         "Intellectual Property": ["ip", "i p", "ip law", "intellectual prop", "propriété intellectuelle"],
         "Tax Law": ["tax", "taxation", "tax matters", "steuerrecht", "derecho tributario"],
-        "Bankruptcy": ["bk", "bankr", "bankrupcy", "bankruptcy law", "insolvency bankruptcy", "insolvency"],
+        "Bankruptcy": ["bk", "bankr", "bankruptcy law", "insolvency"],
         "Personal Injury": ["pi", "pers inj", "injury personal", "personal injury law", "bodily injury pi", "bodily injury"],
     },
 }
 #: Words around a mention that do not change what is meant.
-NOISE = frozenset("re doc the a an amended sealed filed signed copy no nr".split())
+NOISE = frozenset("re doc the a an amended sealed filed signed entered copy no nr law".split())
 #: Words that do not tell one entry from another where the rest agrees.
 SMALL = frozenset("to for of in on".split())
 #: Shares of words in common from which a value stands for an entry: of both, and of the entry alone where the value adds none.
 OVERLAP, LEAST_OF_NAME = 0.75, 2 / 3
+#: Share of the weight of both sets of words in common from which a court is meant.
+COURT_OVERLAP = 0.66
+#: Words of rank, which short forms leave out, and what they weigh beside other words.
+RANKS, RANK = frozenset("superior district appeal".split()), 0.5
 #: What the short words of court names stand for.
 COURT_WORDS = {
     "ct": "court", "dist": "district", "cty": "county", "cnty": "county", "co": "county", "super": "superior", "sup": "superior", "app": "appeal",
@@ -101,6 +109,14 @@ def same_word(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 3 and slip(a, b))
 
 
+def shortens(short: str, full: str) -> bool:
+    """Whether a word may be a short form of another: an initial, or letters of it in their order, the first one included."""
+    if not short or len(short) == 2 or len(short) >= len(full) or short[0] != full[0]:
+        return False
+    rest = iter(full)
+    return all(c in rest for c in short)
+
+
 def court_words(value: str) -> list[str]:
     """The words of a court name in full, without those that all names have."""
     low = fold(re.sub(r"\b([A-Za-z])\.\s?([A-Za-z])\.", r"\1\2 ", value.replace("'", "")))
@@ -115,6 +131,7 @@ class ListMapper:
         self.court = list_name == "court_name"
         self.exact = {label for _, label in entries}
         self.seen: dict[str, int] = {}
+        self.stands: dict[str, list[str]] = {}
         names: dict[str, int] = {}
         for item, label in entries:
             names[fold(label)] = item
@@ -123,9 +140,10 @@ class ListMapper:
                 names.setdefault(fold(alias), item)
         if self.court:
             self.keys = {item: court_words(label) for item, label in entries}
-            places = {w for words in self.keys.values() for w in words}
-            #: short forms of the places: beginnings, and beginning' end (E'march)
-            self.places = places
+            times = Counter(w for words in self.keys.values() for w in words)
+            #: how much a word of a court tells; a word of no court tells most
+            self.weight = {w: math.log(1 + len(entries) / n) * (RANK if w in RANKS else 1) for w, n in times.items()}
+            self.unknown = math.log(1 + len(entries))
         self.names = names
         self.by_size: dict[int, list[tuple[list[str], int]]] = {}
         for name, item in names.items():
@@ -151,30 +169,39 @@ class ListMapper:
         rest += padded[at:].split()
         return {self.names[n] for _, _, n in taken}, rest
 
-    def place(self, word: str) -> str | None:
-        """The place or rank that a word of a court name stands for: whole, misspelt or cut short."""
-        if word in self.places:
-            return word
-        near = {p for p in self.places if min(len(p), len(word)) >= 5 and slip(p, word)}
-        if not near and len(word) >= 4:
-            near = {p for p in self.places if p.startswith(word)}
-            near |= {p for p in self.places if word[0] == p[0] and len(word) >= 5 and p.endswith(word[1:]) and len(p) > len(word)}
-        return near.pop() if len(near) == 1 else None
-
-    def map_court(self, value: str) -> int:
-        """The court all of whose telling words are meant: rank or district, place, number."""
-        words = court_words(value)
-        stands = [self.place(w) for w in words]
-        got = {s for s in stands if s}
-        if any(s is None and not w.isdigit() and w not in NOISE for w, s in zip(words, stands)):
-            return 0
-        best = []
+    def alike(self, word: str) -> list[str]:
+        """The words of court names that a word may stand for: itself, one slip away, or in full."""
+        known = self.stands.get(word)
+        if known is None:
+            if word in self.weight:
+                known = [word]
+            else:
+                known = [w for w in self.weight if min(len(w), len(word)) >= 5 and slip(w, word)] or [w for w in self.weight if shortens(word, w)]
+            if len(self.stands) > 100_000:
+                self.stands.clear()
+            self.stands[word] = known
+        return known
+
+    def similar_court(self, value: str) -> int:
+        """The only court of the highest weighted similarity, if that reaches COURT_OVERLAP."""
+        words = [w for w in court_words(value) if w not in NOISE and not w.isdigit()]
+        stands = [(w, self.alike(w)) for w in words]
+        best, at = 0.0, []
         for item, key in self.keys.items():
-            need = set(key)
-            # a value may leave out the rank where district, division or county tell it
-            if got == need or (got < need and need - got <= {"superior", "district", "appeal"} and len(got) > 1):
-                best.append(item)
-        return best[0] if len(best) == 1 else 0
+            left, strange = list(key), 0.0
+            for w, means in stands:
+                met = next((m for m in means if m in left), None)
+                if met:
+                    left.remove(met)
+                elif not any(m in key for m in means):
+                    strange += max((self.weight[m] for m in means), default=self.unknown)
+            whole = sum(map(self.weight.__getitem__, key))
+            score = (whole - sum(map(self.weight.__getitem__, left))) / (whole + strange) if whole else 0.0
+            if score > best + 1e-9:
+                best, at = score, [item]
+            elif score > best - 1e-9:
+                at.append(item)
+        return at[0] if best >= COURT_OVERLAP and len(at) == 1 else 0
 
     def __call__(self, value: str) -> int:
         """item_id of the entry meant, 0 if none is."""
@@ -188,10 +215,10 @@ class ListMapper:
     def find(self, value: str) -> int:
         text = fold(value)
         items, rest = self.mentions(text)
-        if len(items) == 1 and all(w in NOISE or w.isdigit() for w in rest):
+        if len(items) == 1 and all(w in NOISE or w.isdigit() or len(w) == 1 for w in rest):
             return items.pop()
         if self.court:
-            return self.map_court(value)
+            return self.similar_court(value)
         words = [w for w in text.split() if w not in NOISE and not w.isdigit()]
         found: dict[int, int] = {}
         for name, item in self.by_size.get(len(words), []):

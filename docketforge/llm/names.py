@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, forget, table
-from .mapping import COURT_COMMON, court_words, fold, slip
+from .mapping import COURT_COMMON, RANKS, court_words, fold, shortens, slip
 
 #: Given names with their short forms.
 NICKNAMES = {
@@ -54,8 +54,6 @@ TRADES = {
 NOBODY = frozenset(
     "n a|na|unknown|none|does 1 through 20|pro se|tbd|tbc|see caption|see file|see attached|various|none assigned|not assigned|unassigned|anonymous|self represented|in propria persona|null|nil|redacted|sealed|john doe|jane doe|doe|to be determined".split("|")
 )
-#: Words of courts that a short form may leave out.
-RANKS = frozenset("superior district appeal".split())
 _DOES = re.compile(r"(?:does?|roes?|john does|jane does)(?: \d+)?(?: (?:through|to) \d+)?")
 
 
@@ -169,14 +167,6 @@ def _person(value: str, words: list[str]) -> Parsed | None:
     return Parsed("person", (family,), given=given, middle=middle, kin=kin, full=bool(given) and not cut_short)
 
 
-def shortens(short: str, full: str) -> bool:
-    """Whether a word may be a short form of another: an initial, or letters of it in their order, the first one included."""
-    if not short or len(short) == 2 or len(short) >= len(full) or short[0] != full[0]:
-        return False
-    rest = iter(full)
-    return all(c in rest for c in short)
-
-
 def cheapest(cost: list[list[float]]) -> float:
     """The least sum of costs of an assignment of every row to a column of its own (Kuhn 1955); rows are at most columns."""
     n, m = len(cost), len(cost[0]) if cost else 0
