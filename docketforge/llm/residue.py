@@ -19,37 +19,45 @@ from .common import spread, table
 
 GRAM = 4
 SLOTS = 1 << 17
-#: Samples that the models of residue are fitted on.
+#: The classical filler text, and what people type to fill a page.
 FILLER = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation",
-    "lorem ipsum dolor semper luctus auctor congue dignis alvit belor calpus erat faucet ferrum gravit lectum matis minque mollit norbit nullam orcus ostram pladis portis quidem rutrum sitam sumpta tempo terrum trelum ultric velis vexit vinco",
-    "asdf asdf asdf asdf asdf asdf asdf asdf qwerty qwerty qwerty qwerty jkl; jkl; jkl; jkl;",
-    "blah blah blah blah blah blah blah blah test test test test test test test test foo bar foo bar foo bar xxx xxx xxx",
-    "sample text goes here. sample text goes here. dummy text. dummy text. your text here. type your text here. text to follow. filler text filler text",
-    "placeholder paragraph. replace with final wording. placeholder text. this page is a placeholder. insert text here. content to come.",
-    "body copy to follow. copy to come. final text to follow. text to be supplied. body text. paragraph text. replace this text. edit this text. lorem text.",
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea "
+    "commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+    "semper luctus auctor congue dignissim malesuada faucibus lectus mattis mollis norbit nullam orci porta pulvinar rutrum sollicitudin tempus tellus ultrices vestibulum viverra pellentesque habitant morbi tristique senectus netus "
+    "fames turpis egestas curabitur pretium tincidunt lacus gravida blandit accumsan integer vitae justo eget bibendum arcu vivamus suscipit felis donec sagittis vulputate aenean erat volutpat maecenas",
 )
-NOTICE_SUBJECTS = (
-    "the archive node", "the document store", "the storage bucket", "the upload gateway", "the case search", "the page cache", "the session service",
-    "the index shard", "the render pool", "the converter", "the document viewer", "the file you requested", "the requested docket page", "the server", "the service",
-)
+LATIN_ENDS = ("um", "us", "is", "it", "at", "em", "or", "o", "a", "ent", "unt", "que", "et", "am", "os", "ur")
+TYPED = ("asdf", "qwerty", "jkl;", "blah", "test", "foo bar", "xxx", "abc abc", "lorem")
+FILLER_NOUNS = ("text", "placeholder text", "sample text", "dummy text", "filler text", "body text", "body copy", "content", "copy", "paragraph", "placeholder paragraph", "final wording", "final text")
+FILLER_PHRASES = ("{n} goes here", "your {n} here", "insert {n} here", "type your {n} here", "{n} to follow", "{n} to come", "{n} to be supplied", "replace with {n}", "replace this {n}", "edit this {n}", "this page is a placeholder", "{n}")
+#: What error pages speak of, and what they say of it.
+NOTICE_SUBJECTS = ("page", "file", "document", "server", "service", "site", "request", "resource", "system", "database", "gateway", "viewer", "search", "session", "connection", "node", "store", "archive", "index", "shard", "cache", "bucket", "thread pool", "converter")
 NOTICE_PREDICATES = (
-    "failed to load the file", "timed out", "ran out of memory", "returned no data", "refused the connection", "rejected the request", "answered with status 500",
-    "is overloaded", "is not available right now", "could not be located on this server", "does not exist", "no responde", "ist derzeit nicht erreichbar",
-    "est momentanément indisponible", "is down for maintenance", "encountered an unexpected error", "could not be displayed",
+    "not found", "could not be found", "could not be loaded", "could not be displayed", "could not be located on this server", "failed to load", "timed out", "is not available", "is temporarily unavailable", "is unavailable right now", "is down for maintenance",
+    "refused the connection", "rejected the request", "returned no data", "ran out of memory", "is overloaded", "does not exist", "has been moved", "encountered an unexpected error", "has expired", "answered with status 500", "responded with an error",
+    "no responde", "no está disponible", "no se encontró", "introuvable", "est momentanément indisponible", "n'est pas disponible", "nicht gefunden", "ist derzeit nicht erreichbar", "nicht verfügbar",
+)
+#: Status codes with their standard phrases, and other standing phrases of error pages in four languages.
+STATUS = (
+    "400 bad request", "401 unauthorized", "403 forbidden", "404 not found", "405 method not allowed", "408 request timeout", "410 gone", "429 too many requests", "500 internal server error", "501 not implemented", "502 bad gateway",
+    "503 service unavailable", "504 gateway timeout",
 )
 NOTICE_PHRASES = (
-    "home | search | log in", "[viewer] document could not be displayed", "docket viewer v3", "loading…", "oops! err 502", "http 404 not found", "403 forbidden - ", "500 internal server error",
-    "502 bad gateway", "503 service unavailable", "504 gateway timeout", "code 533", "error 404", "access denied", "too many requests", "page not found", "página no encontrada", "page introuvable",
-    "seite nicht gefunden", "zugriff verweigert", "acceso denegado", "accès refusé", "délai d'attente dépassé", "zeitüberschreitung", "tiempo de espera agotado", "you must log in to view this filing.",
-    "your address was blocked after too many lookups.", "please try again later or contact the filing desk.", "inténtelo de nuevo más tarde.", "veuillez réessayer plus tard.",
-    "bitte versuchen sie es später erneut.", "return to home page", "request id 1c6e3f", "reference #a68e92ba6", "incident cc5fd311c", "ref 925fe81b6b2af9", "token 4e1e12537d9 is no longer valid.",
-    "retry in 54 s", "caused by: connection reset after 100 ms", "at viewer.render(line 511)", "exception in thread pool-580: null", "traceback (most recent call last)", "<h1>err 513", "oops! code 597", "fehler 450", "erreur 415", "410 gone", "upstream connect error", "session expired", "error al cargar el documento", "erreur lors du chargement du document", "fehler beim laden des dokuments", "sorry.", "<h1>", "<noscript>", "noscript: content unavailable without client-side scripting",
-    "javascript is disabled in your browser.", "you need to enable javascript to run this app.", "please enable scripts", "please permit js and cookies in order to read the filing",
-    "please allow client-side scripting and try once more", "kindly permit script execution", "you must permit scripting in your browser and reload the page.", "turn on scripts and try once more",
-    "to continue, switch on scripting in your browser to view this docket", "this site asks you to activate client-side scripting", "before the record can be shown, activate scripting in your browser",
-    "please enable script execution to pass the browser check", "les scripts sont bloqués : contenu non affiché.", "veuillez activer javascript pour afficher", "ohne skripte kann der inhalt nicht dargestellt werden.",
-    "bitte aktivieren sie javascript, um die akte anzuzeigen.", "esta página requiere scripts habilitados", "active javascript para ver el expediente", "in order to use this page scripts are required", "you must permit js and cookies to open the exhibit", "switch on js and cookies to use the document viewer",
+    "page not found", "file not found", "access denied", "permission denied", "too many requests", "an error occurred", "something went wrong", "oops", "sorry", "please try again later", "please contact the administrator", "please contact support", "contact the help desk",
+    "return to home page", "go back", "home | search | log in", "loading", "request id", "reference", "incident", "error code", "error", "err", "code", "retry in 30 s", "you must log in to view this page", "your address was blocked", "invalid token", "token is no longer valid",
+    "session expired", "caused by: connection reset after 100 ms", "upstream connect error", "traceback (most recent call last)", "exception in thread pool-5: null", "exception in thread main", "exception in worker thread: null", "caused by: null", "null pointer exception", "http 500", "http 404", "http error", "stack trace", "at line", "<h1>", "<noscript>", "content unavailable",
+    "página no encontrada", "acceso denegado", "tiempo de espera agotado", "inténtelo de nuevo más tarde", "error al cargar el documento", "page introuvable", "accès refusé", "délai d'attente dépassé", "veuillez réessayer plus tard", "erreur lors du chargement du document", "erreur",
+    "seite nicht gefunden", "zugriff verweigert", "zeitüberschreitung", "bitte versuchen sie es später erneut", "fehler beim laden des dokuments", "fehler",
+)
+#: Parts of notices that scripts are required: a request, what is to be switched on, what for.
+ASKING = ("please", "kindly", "you must", "you need to", "this site asks you to", "to continue,", "in order to use this page,")
+SWITCHING = ("enable", "activate", "allow", "permit", "turn on", "switch on")
+SCRIPTS = ("javascript", "scripts", "scripting", "script execution", "client-side scripting", "js and cookies", "javascript in your browser", "scripting in your browser")
+PURPOSES = ("and reload the page", "and try again", "and try once more", "to continue", "to view this page", "to view this document", "in order to read the file", "to run this app", "to pass the browser check", "to use the document viewer", "before the record can be shown")
+SCRIPT_PHRASES = (
+    "javascript is disabled in your browser", "javascript is required", "scripts are required", "scripts are blocked: content not shown", "this page requires javascript", "your browser does not support javascript", "content unavailable without client-side scripting",
+    "veuillez activer javascript pour afficher le document", "les scripts sont bloqués : contenu non affiché", "cette page nécessite javascript", "bitte aktivieren sie javascript, um die seite anzuzeigen", "ohne skripte kann der inhalt nicht dargestellt werden",
+    "active javascript para ver la página", "esta página requiere scripts habilitados", "habilite javascript en su navegador",
 )
 FIELDS = ("case_number", "court_name", "hearing_date", "filing_date", "client_address", "amount_due", "exhibit_no", "party_name", "judge", "firm", "counsel", "defendant", "plaintiff", "date", "name", "address", "title")
 #: How templates write a field; {u} upper case with _, {l} lower case with _, {s} in words, {t} words in title case, {c} without spaces.
@@ -66,8 +74,10 @@ UNFILLED = re.compile(
 )
 #: Width of the windows in characters and the mean log likelihood ratio a character from which one is marked, by kind.
 WINDOWS = {"filler": (24, 0.9), "notice": (12, 0.9), "template": (4, 0.8)}
-#: Share of a text from which residue has taken the place of its content; or what may be left beside it (a caption).
-COVERAGE, CAPTION = 0.5, 110
+#: Share of a text, or of its running words, from which residue has taken the place of its content; and running words that a caption beside it may have.
+COVERAGE, RUNNING_COVERAGE, CAPTION_WORDS = 0.5, 0.6, 1
+#: Characters around a marked place within which the field it belongs to begins and ends.
+FIELD_REACH = 60
 #: Characters of filler in a row that are no quotation.
 FILLER_SPAN = 120
 
@@ -91,11 +101,17 @@ def codes(text: str) -> np.ndarray:
 
 
 def samples() -> dict[str, list[str]]:
-    """The texts that each model of residue is fitted on."""
+    """The texts that each model of residue is fitted on: made of the parts above by rule, none of them a text of the corpus."""
     rng = np.random.default_rng(9)
-    words = FILLER[1].split() + FILLER[0].split()[:8]
-    filler = list(FILLER[:2]) + list(FILLER[2:]) * 40 + [" ".join(rng.choice(words, 12)) + ". " for _ in range(400)]
-    notice = [f"{s} {p}. " for s in NOTICE_SUBJECTS for p in NOTICE_PREDICATES] + [f" {p} " for p in NOTICE_PHRASES] * 8
+    words = " ".join(FILLER).split()
+    filler = list(FILLER) + [" ".join(rng.choice(words, 12)) + ". " for _ in range(400)]
+    # made-up Latin: beginnings of these words with other endings
+    stems = sorted({w[:k] for w in words for k in (3, 4, 5) if len(w) > k})
+    filler += [" ".join(rng.choice(stems) + rng.choice(LATIN_ENDS) for _ in range(12)) + ". " for _ in range(600)]
+    filler += [f"{w} {w} {w} {w} {w} {w} " for w in TYPED] * 25 + [p.format(n=n) + ". " for p in FILLER_PHRASES for n in FILLER_NOUNS] * 6
+    notice = [f"the {s} {p}. " for s in NOTICE_SUBJECTS for p in NOTICE_PREDICATES] + [f"the {a} {b} 12 {p}. " for a, b in zip(NOTICE_SUBJECTS, NOTICE_SUBJECTS[1:]) for p in NOTICE_PREDICATES[::3]] + [f" {p}. " for p in NOTICE_PHRASES] * 8
+    notice += [f"{x} - " for x in STATUS] * 6 + [f"{a} {x}. " for x in STATUS for a in ("http", "error", "oops!", "err", "<h1>")] + [f"{w} {n}. " for w in ("error", "err", "code", "fehler", "erreur", "status", "request id", "reference #", "ref") for n in ("404", "500", "1c6e3f", "a68e92ba6")] + [f"<h1>{w} {n} " for w in ("error", "err", "code") for n in ("404", "500")] * 4
+    notice += [f"{a} {w} {x} {rng.choice(PURPOSES)}. " for a in ASKING for w in SWITCHING for x in SCRIPTS] + [f"{x}. " for x in SCRIPT_PHRASES] * 12
     field = []
     for f in FIELDS:
         w = f.replace("_", " ")
@@ -140,12 +156,32 @@ def longest_run(mask: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def only_caption(text: str, mask: np.ndarray) -> bool:
-    """Whether what lies outside the marked places is no more than a caption: short, and no running text."""
-    n = len(mask)
-    rest = "".join(c for i, c in enumerate(text) if i >= n or not mask[i]) if len(text) <= 400 else text
-    running = len(_RUNNING.findall(rest))
-    return len(rest) <= CAPTION and running <= (3 if int(mask.sum()) >= 40 else 1)
+def outside(text: str, mask: np.ndarray) -> str:
+    """What a text holds outside the marked places."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([1], mask.astype(np.int8), [1]))))
+    parts = [text[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    return " ".join([*parts, text[len(mask) :]])
+
+
+def runs(mask: np.ndarray):
+    """(first, last) of the runs of marked places."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+    return zip(edges[::2].tolist(), edges[1::2].tolist())
+
+
+def excluded(text: str, mask: np.ndarray, least: int) -> bool:
+    """Whether residue has taken the place of content: it covers enough of the text, or of its running words.
+
+    A caption beside it, a heading, a number or a date holds hardly any running words, so the same
+    rule serves texts of any length.
+    """
+    covered = int(mask.sum())
+    if covered >= COVERAGE * len(text.strip()):
+        return True
+    if covered < least:
+        return False
+    inside = len(_RUNNING.findall(text)) - (left := len(_RUNNING.findall(outside(text, mask))))
+    return left <= CAPTION_WORDS or inside >= RUNNING_COVERAGE * (inside + left)
 
 
 def residue_of(text: str, tables: dict[str, np.ndarray]) -> str:
@@ -153,24 +189,21 @@ def residue_of(text: str, tables: dict[str, np.ndarray]) -> str:
     if not text.strip():
         return ""
     c = codes(" " + text)  # so that a field at the very beginning has its context; places are one further on
-    size = len(text.strip())
     if not len(c):
         return ""
     hit = marked(tables["template"][c], *WINDOWS["template"])
-    if hit is not None and UNFILLED.search(text):
-        for m in UNFILLED.finditer(text):
-            if hit[max(0, m.start() + 1 - GRAM) : m.end() + 1 + GRAM].any():
-                return "template"
+    if hit is not None:
+        # the windows say where a field may stand; each such place is checked, and nothing else
+        for a, b in runs(hit):
+            for m in UNFILLED.finditer(text, max(0, a - FIELD_REACH), min(len(text), b + FIELD_REACH)):
+                if m.start() <= b + GRAM and m.end() >= a - GRAM:
+                    return "template"
     filler = marked(tables["filler"][c], *WINDOWS["filler"])
-    if filler is not None:
-        covered = int(filler.sum())
-        if covered >= COVERAGE * size or longest_run(filler) >= FILLER_SPAN or (covered >= 16 and only_caption(text, filler[1:])):
-            return "filler"
+    if filler is not None and (longest_run(filler) >= FILLER_SPAN or excluded(text, filler[1:], 16)):
+        return "filler"
     notice = marked(tables["notice"][c], *WINDOWS["notice"])
-    if notice is not None:
-        covered = int(notice.sum())
-        if covered >= COVERAGE * size or (covered >= 9 and only_caption(text, notice[1:])):
-            return "notice"
+    if notice is not None and excluded(text, notice[1:], 9):
+        return "notice"
     return ""
 
 
