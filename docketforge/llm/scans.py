@@ -1,7 +1,8 @@
 """Problem 6: noise in text from scanned pages, and its repair into readable paragraphs.
 
 Words of the whole corpus are grouped by a skeleton in which glyphs that scanners confuse are
-the same; a rare form is a misread one if the form that rules its group is frequent. Lines
+the same; a rare form is a misread one if the form that rules its group is frequent. Where two
+frequent forms have one skeleton the words beside them decide which is meant. Lines
 that repeat within a record when their digits are masked are running headers where they
 break into the text or stand at a page's edge. The repair drops headers and page numbers,
 joins divided words and flows the lines of each paragraph together with SQL windows.
@@ -32,6 +33,10 @@ MIN_LENGTH = 4
 #: A shorter form counts as true if it is at most so many times rarer than the most frequent form, and is looked for only in words that stand alone.
 SHORT_RARER = 35
 
+#: Of two frequent forms of one skeleton the other is meant where it stands so many times more often beside the same words,
+#: and beside them in at least so many records.
+BESIDE, LEAST_BESIDE = 10, 8
+
 _SINGLES = str.maketrans({"e": "c", "t": "f", "i": "l", "1": "l", "0": "o", "5": "s", "g": "q"})
 _WORD = re.compile(r"[^\W_]+")
 #: Short words that stand alone: no parts of divided words, abbreviations, compounds or numbers.
@@ -81,7 +86,7 @@ def _number(mark: str) -> int:
 def _words(batches):
     """(word, n): in how many records each word and each hyphenated pair occurs, by batch of records."""
     for batch in batches:
-        n: Counter = Counter()
+        n: Counter = Counter({"": batch.num_rows})
         for text in batch.column(0).to_pylist():
             low = text.lower()
             n.update({w for w in _WORD.findall(low) if MIN_LENGTH <= len(w) <= 24})
@@ -97,20 +102,65 @@ def frequent_forms(texts: DataFrame) -> DataFrame:
     Of the words of a skeleton the most frequent counts, and those not much rarer.
     """
     src = texts.where("text <> ''").select("text")
-    least = max(LEAST, src.count() * SHARE)
     counts = src.mapInArrow(_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.where(F.col("n") >= least).select("word", skeleton_column(F.col("word")).alias("skeleton"), "n")
+    # the records are counted in the same pass, as the empty word
+    counts = cut(counts.where(F.col("n") >= LEAST))
+    records = counts.where("word = ''").select("n").first()
+    least = max(LEAST, (records.n if records else 0) * SHARE)
+    frequent = counts.where((F.col("word") != "") & (F.col("n") >= least)).select("word", skeleton_column(F.col("word")).alias("skeleton"), "n")
     ruling = F.max("n").over(Window.partitionBy("skeleton"))
     return frequent.withColumn("top", ruling).where(F.col("n") * RARER >= F.col("top")).select("word", "skeleton", "n")
 
 
+def doubtful_forms(rows: list[tuple[str, str, int]]) -> dict[str, list[str]]:
+    """Each frequent form that may be a misreading of other frequent forms, with these, the most frequent first."""
+    by: dict[str, list[str]] = {}
+    for w, s, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if "-" not in w and len(w) >= MIN_LENGTH and _HAS_LETTER.search(w):
+            by.setdefault(s, []).append(w)
+    out = {}
+    for group in by.values():
+        for w in group if len(group) > 1 else ():
+            true = [t for t in group if t != w and Lexicon._one_way(w, t)]
+            if true:
+                out[w] = true
+    return out
+
+
+def contexts(texts: DataFrame, rows: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """(form, neighbour, records) of the doubtful forms and those they may stand for; the neighbour before has a space after it, the one after a space before it.
+
+    Only frequent neighbours count, so there are at most so many as (forms) x 2 x (frequent words). Built-in SQL over all texts; no job where no form is doubtful.
+    """
+    doubtful = doubtful_forms(rows)
+    if not doubtful:
+        return []
+    forms = "|".join(sorted(set(doubtful) | {t for ts in doubtful.values() for t in ts}, key=lambda w: (-len(w), w)))
+    low = F.lower("text")
+    word, no = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]{1,3}"
+    around = texts.where(low.rlike(rf"(?:{forms})")).select(
+        F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{forms}){no}{word}"), F.lit(0))).alias("after"),
+        F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}{no}(?:{forms})(?![\p{{L}}\p{{N}}])"), F.lit(0))).alias("before"),
+    )
+    first, last = F.regexp_extract("x", rf"^({word})", 1), F.regexp_extract("x", rf"({word})$", 1)
+    pairs = around.select(F.explode("after").alias("x")).select(first.alias("form"), F.concat(F.lit(" "), last).alias("beside"))
+    pairs = pairs.unionByName(around.select(F.explode("before").alias("x")).select(last.alias("form"), F.concat(first, F.lit(" ")).alias("beside")))
+    n = pairs.groupBy("form", "beside").agg(F.count("*").alias("n"))
+    frequent = texts.sparkSession.createDataFrame([(w,) for w, _, _ in rows], "w string")
+    return [tuple(r) for r in n.join(frequent, F.trim("beside") == F.col("w"), "left_semi").collect()]
+
+
 class Lexicon:
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: list[tuple[str, str, int]], beside: list[tuple[str, str, int]] = ()):
         self.words = {w for w, _, _ in rows}
+        self.doubtful = doubtful_forms(rows)
+        self.beside = {(w, x): n for w, x, n in beside}
         self.ruling: dict[str, str] = {}
-        for w, s, _ in sorted(rows, key=lambda r: r[2]):
+        self.choice: dict[str, list[str]] = {}
+        for w, s, _ in sorted(rows, key=lambda r: (r[2], r[0])):
             if "-" not in w and _HAS_LETTER.search(w):
                 self.ruling[s] = w
+                self.choice.setdefault(s, []).insert(0, w)
         most = max((n for _, _, n in rows), default=0)
         self.short = {s: w for s, w in self.ruling.items() if len(w) < MIN_LENGTH}
         common = {w for w, _, n in rows if n * SHORT_RARER >= most}
@@ -119,6 +169,33 @@ class Lexicon:
         self.seen: dict[str, str] = {}
         self.seen_short: dict[str, str] = {}
 
+    def support(self, form: str, before: str, after: str) -> int:
+        """In how many records a form stands beside these words."""
+        return self.beside.get((form, before + " "), 0) + self.beside.get((form, " " + after), 0)
+
+    def meant(self, word: str, before: str, after: str) -> str:
+        """The form that a lower-cased word was misread from where it stands beside these words, or ''."""
+        if word in self.doubtful:
+            own = self.support(word, before, after)
+            for true in self.doubtful[word]:
+                n = self.support(true, before, after)
+                if n >= LEAST_BESIDE and n >= BESIDE * own:
+                    return true
+            return ""
+        top = self.true_form(word)
+        if top:
+            others = [w for w in self.choice.get(skeleton(word), ()) if self._one_way(word, w)]
+            if len(others) > 1:
+                return max(others, key=lambda w: self.support(w, before, after))
+        return top
+
+    def misread(self, low: str, words: set) -> bool:
+        """Whether one of the doubtful forms among the words of a text is misread there."""
+        if words.isdisjoint(self.doubtful):
+            return False
+        row = _WORD.findall(low)
+        return any(w in self.doubtful and self.meant(w, row[i - 1] if i else "", row[i + 1] if i + 1 < len(row) else "") for i, w in enumerate(row))
+
     def true_form(self, word: str) -> str:
         """The frequent form that a lower-cased word was misread from, or ''."""
         known = self.seen.get(word)
@@ -241,7 +318,9 @@ def noise_of(text: str, lexicon: Lexicon) -> list[str]:
         out.append("hyphen_break")
     form = lexicon.true_form
     words = lexicon.words
-    if any(form(w) for w in set(_WORD.findall(text.lower())) if w not in words) or any(lexicon.short_form(w.lower()) for w in set(_ALONE.findall(text))):
+    low = text.lower()
+    own = set(_WORD.findall(low))
+    if any(form(w) for w in own if w not in words) or any(lexicon.short_form(w.lower()) for w in set(_ALONE.findall(text))) or lexicon.misread(low, own):
         out.append("misread")
     if "\n" in text or "\f" in text:
         headers, pages = furniture(split_lines(text))
@@ -263,9 +342,10 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs, "rec_id").unionByName(spread(ex, "rec_id")).where("text <> ''")
 
 
-def _lexicon(texts: DataFrame) -> list[tuple]:
-    """The frequent forms: their number is bound by SHARE, not by the size of the corpus."""
-    return [tuple(r) for r in frequent_forms(texts).collect()]
+def _lexicon(texts: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """The frequent forms and what stands beside the doubtful ones: their number is bound by SHARE, not by the size of the corpus."""
+    rows = [tuple(r) for r in frequent_forms(texts).collect()]
+    return rows, contexts(texts, rows)
 
 
 def noise(texts: DataFrame) -> DataFrame:
@@ -274,10 +354,10 @@ def noise(texts: DataFrame) -> DataFrame:
     Null, empty and blank texts have none; rows that repeat give repeated rows; whole texts
     are read; an empty table gives an empty result; extra columns are not looked at.
     """
-    rows = _lexicon(texts)
+    lexicon_rows = _lexicon(texts)
 
     def run(batches):
-        lexicon = Lexicon(rows)
+        lexicon = Lexicon(*lexicon_rows)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for src, rec, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -295,15 +375,15 @@ def repaired(texts: DataFrame) -> DataFrame:
 
     (src, rec_id) names a record; rows that repeat it are taken once.
     """
-    rows = _lexicon(texts)
+    lexicon_rows = _lexicon(texts)
 
     def only_noisy(batches):
-        lexicon = Lexicon(rows)
+        lexicon = Lexicon(*lexicon_rows)
         for batch in batches:
             yield batch.filter(pa.array([bool(t and noise_of(t, lexicon)) for t in batch.column(2).to_pylist()], pa.bool_()))
 
     def lines(batches):
-        lexicon = Lexicon(rows)
+        lexicon = Lexicon(*lexicon_rows)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for src, rec, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -325,15 +405,22 @@ def repaired(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["src", "rec_id", "no", "line", "divided"])
 
     def mended(batches):
-        lexicon = Lexicon(rows)
-
-        def mend(m, form=lexicon.true_form):
-            w = m.group()
-            true = form(w.lower())
-            return w if not true else true.upper() if w.isupper() and len(w) > 1 else true.capitalize() if w[:1].isupper() else true
+        lexicon = Lexicon(*lexicon_rows)
+        like = lambda w, true: w if not true else true.upper() if w.isupper() and len(w) > 1 else true.capitalize() if w[:1].isupper() else true
+
+        def mend(text):
+            found = list(_WORD.finditer(text))
+            low = [m.group().lower() for m in found]
+            parts, at = [], 0
+            for i, m in enumerate(found):
+                true = lexicon.meant(low[i], low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else "")
+                if true:
+                    parts += [text[at : m.start()], like(m.group(), true)]
+                    at = m.end()
+            return "".join([*parts, text[at:]])
 
         for batch in batches:
-            fixed = [_ALONE.sub(lambda m: mend(m, lexicon.short_form), _WORD.sub(mend, t)) for t in batch.column(2).to_pylist()]
+            fixed = [_ALONE.sub(lambda m: like(m.group(), lexicon.short_form(m.group().lower())), mend(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.string())], names=["src", "rec_id", "text"])
 
     # only records with noise are shuffled
