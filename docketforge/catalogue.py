@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import extra_plans, job_plans, more_plans, search_plans, text_plans
+from .plans import extra_plans, job_plans, more_plans, request_plans, search_plans, text_plans
 
-_ALL = {**search_plans.QUERIES, **text_plans.QUERIES, **job_plans.QUERIES, **more_plans.QUERIES, **extra_plans.QUERIES}
+_ALL = {**search_plans.QUERIES, **text_plans.QUERIES, **job_plans.QUERIES, **more_plans.QUERIES, **extra_plans.QUERIES, **request_plans.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

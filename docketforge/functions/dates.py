@@ -21,6 +21,7 @@ CONTEXT = {
     "decision_date": r"(?i)(?:decided|ruling|ordered|judgment|entered)(?:\s+on)?\s*:?\s*([^,\n\r;]+)",
     "served_date": r"(?i)(?:served|service)(?:\s+on)?\s*:?\s*([^,\n\r;]+)",
 }
+#: How ranges of dates are written.
 RANGE_DAYS = r"(?i)(?:from\s+)?(\w+)\s+(\d{1,2})\s*[-–—]\s*(\d{1,2}),?\s+(\d{4})"
 RANGE_SLASH = r"(?i)(\d{1,2}/\d{1,2}/\d{4})\s+(?:to|through|thru)\s+(\d{1,2}/\d{1,2}/\d{4})"
 

@@ -48,12 +48,32 @@ def hits(df: DataFrame, key: str, text: str, custom: list[str] | None = None) ->
     return rows.select(key, (F.col("i") + 1).alias("item_no"), "h.pii_type", "h.hit", "h.legal_code")
 
 
-def masked(text: Column, mark: str = "■") -> Column:
-    """Every match of the patterns as marks, pattern after pattern; a match keeps its number of characters."""
-    for _, p, _ in PATTERNS:
-        text = F.regexp_replace(text, re2(p), mark * 3)
+def _marked(pattern: str, mark: str):
+    def one(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        # between the hits stands what a split by them leaves; both are bound once
+        both = F.array(F.struct(F.split(t, pattern, -1).alias("parts"), hits.alias("hits")))
+        return F.transform(both, lambda b: F.array_join(F.transform(b["parts"], lambda x, i: F.concat(x, F.coalesce(mask_of(F.get(b["hits"], i), mark), F.lit("")))), ""))[0]
+
+    return one
+
+
+def masked(text: Column, mark: str = "■", custom: list[str] | None = None) -> Column:
+    """Every match of the patterns as marks, pattern after pattern; a match gives as many marks as it has bytes."""
+    for _, p, _ in with_custom(custom):
+        text = F.transform(F.array(text), _marked(re2(p), mark))[0]
     return text
 
 
+def redacted(text: Column, items: Column, mark: str = "■") -> Column:
+    """The text with the given items (array<struct<start int, end int>>, 0-based, end exclusive, in characters) as marks.
+
+    Items outside the text, empty or reversed ones are left out; where items overlap each character is masked once.
+    """
+    hit = lambda i: F.exists(items, lambda r: (r["start"] <= i) & (i < r["end"]))
+    spread_out = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.when(hit(i), F.repeat(F.lit(mark), F.octet_length(c))).otherwise(c))
+    return F.when(F.size(items) > 0, F.array_join(spread_out, "")).otherwise(text)
+
+
 def mask_of(hit: Column, mark: str = "■") -> Column:
     return F.repeat(F.lit(mark), F.octet_length(hit))

@@ -11,6 +11,7 @@ from .regexes import re2
 _EXT = "(?:txt|pdf|doc|docx|rtf|html?)"
 _DAY = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+#: Printed paths, attributes of tags and drive paths.
 PATH_WITH_TIME = rf"(?i)^(?:data/)*[^/\s]+\.{_EXT}{_DAY}\s+{_MONTH}\s+\d{{1,2}}\s+\d{{1,2}}:\d{{2}}:\d{{2}}\s+\d{{4}}"
 PATH_NESTED = rf"(?i)^(?:data/){{2,}}[^/\s]+\.{_EXT}"
 PATH_AT_START = rf"(?i)^[^/\s]*(?:/[^/\s]*)*\.{_EXT}\s*"

@@ -13,9 +13,10 @@ def safe_id(col: Column) -> Column:
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Last write wins: new rows replace old ones of their key, of several new ones the last in order."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__new"), F.col(order).desc_nulls_last()))
-    return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new")
+    last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.struct(F.col(order))).alias("__r")).select("__r.*")
+    # of the old rows only keys are compared; where the new ones are few Spark broadcasts them and the old ones stay where they are
+    kept = old.join(new.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(last)
 
 
 def delete(index: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -35,6 +36,11 @@ def bulk(rows: DataFrame, key: str, problem: Column) -> DataFrame:
     return rows.agg(F.count_if(ok & problem.isNull()).alias("indexed"), F.count_if(ok & problem.isNotNull()).alias("failed"), F.count_if(~ok).alias("skipped"))
 
 
+def bulk_failures(rows: DataFrame, key: str, problem: Column) -> DataFrame:
+    """(key, error) of the rows that a bulk write does not take; rows without a key are skipped, not failed."""
+    return rows.where((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & problem.isNotNull()).select(key, problem.alias("error"))
+
+
 def get(index: DataFrame, key: str, value) -> DataFrame:
     return index.where(F.col(key) == F.lit(value)).limit(1)
 

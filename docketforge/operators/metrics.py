@@ -25,12 +25,23 @@ def counters(points: DataFrame, name: str, ts: str, value: str, key: str) -> Dat
     return points.groupBy(name).agg(F.round(F.sum(value), 4).alias("counter"), F.max_by(value, F.struct(ts, key)).alias("gauge"))
 
 
+#: Points from the end of a metric that its average is made of: older ones weigh less than 2^-60 together, beyond the precision of a double.
+MEMORY = 64
+
+
 def moving_average(points: DataFrame, name: str, ts: str, value: str, key: str) -> DataFrame:
-    """avg = (avg + x) / 2 in the order of time, the first value seeding."""
-    rows = F.array_sort(F.collect_list(F.struct(ts, key, value)))
-    agg = points.groupBy(name).agg(rows.alias("p"))
-    avg = F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.col("p")[0][value], lambda a, x: (a + x[value]) / 2)
-    return agg.select(name, F.round(avg, 6).alias("ema"))
+    """avg = (avg + x) / 2 in the order of time, the first value seeding.
+
+    The last point weighs 1/2, the one before 1/4 and so on, the first as much as the second. So the
+    last MEMORY points decide; each part of a metric keeps its own last ones, and no metric is collected or sorted as a whole.
+    """
+    at = [F.col(ts).desc(), F.col(key).desc()]
+    salted = points.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    last = salted.withColumn("__r", F.row_number().over(Window.partitionBy(name, "__salt").orderBy(*at))).where(F.col("__r") <= MEMORY)
+    ranked = last.withColumn("__r", F.row_number().over(Window.partitionBy(name).orderBy(*at))).where(F.col("__r") <= MEMORY)
+    n = points.groupBy(name).agg(F.count("*").alias("__n"))
+    weight = F.when(F.col("__r") == F.col("__n"), F.pow(F.lit(2.0), 1 - F.col("__r"))).otherwise(F.pow(F.lit(2.0), -F.col("__r")))
+    return ranked.join(n, name).groupBy(name).agg(F.round(F.sum(F.col(value) * weight), 6).alias("ema"))
 
 
 def alert(metric: Column, value: Column) -> Column:

@@ -82,6 +82,44 @@ def date_range(name: str, start: datetime | None, end: datetime | None) -> Colum
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def range_of(name: str, start: str | None, end: str | None) -> Column:
+    """A range of any field by the bounds as they are written, both inclusive."""
+    col = F.col(column_of(name))
+    parts = ([col >= F.lit(start)] if start else []) + ([col <= F.lit(end)] if end else [])
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+#: Values of a list from which it is joined instead of written into the predicate.
+LONG_LIST = 1000
+
+
+def where_in(df: DataFrame, name: str, values: list) -> DataFrame:
+    """Rows whose value (or one of whose values) is in a list; a long list becomes a semi join."""
+    if len(values) <= LONG_LIST:
+        return df.where(term(name, list(values)))
+    col = column_of(name)
+    kind = df.schema[col].dataType
+    many = col in MULTI_VALUED
+    wanted = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], f"__v {(kind.elementType if many else kind).simpleString()}")
+    if many:
+        return df.join(wanted, F.array_contains(F.col(col), F.col("__v")), "left_semi")
+    return df.join(wanted, F.col(col) == F.col("__v"), "left_semi")
+
+
+def valid_range(start: Column, end: Column) -> Column:
+    """Whether a range is none or runs forward: an open side is always fine."""
+    return F.coalesce(start <= end, F.lit(True))
+
+
+def empty_range(start: Column, end: Column) -> Column:
+    return start.isNull() & end.isNull()
+
+
+def in_range(value: Column, start: Column, end: Column) -> Column:
+    """Whether a value lies in a range, ends included; an open side never excludes, a null value is in no range."""
+    return value.isNotNull() & F.coalesce(value >= start, F.lit(True)) & F.coalesce(value <= end, F.lit(True))
+
+
 def compile_request(r: SearchRequest) -> Column:
     """All filters of a request, and'ed."""
     parts: list[Column] = []

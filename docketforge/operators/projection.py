@@ -16,10 +16,12 @@ TAGS = [
     ("motion to dismiss", "motion"), ("motion to suppress", "motion"), ("discovery", "procedural"), ("sentencing", "criminal"), ("plea bargain", "criminal"), ("summary judgment", "civil"), ("evidence exclusion", "evidence"),
     ("constitutional challenge", "substantive"), ("procedural motion", "procedural"), ("appeal", "procedural"),
 ]
+#: Words of old names by type.
 LEGACY_RULES = [
     ("motion_to_suppress", [["motion", "suppress"]]), ("motion_to_dismiss", [["motion", "dismiss"]]), ("motion_to_compel", [["motion", "compel"]]), ("motion_in_limine", [["motion", "limine"]]), ("motion_to_suppress", [["motion"]]),
     ("order", [["order"]]), ("ruling", [["ruling"]]), ("judgment", [["judgment"]]), ("brief", [["brief"]]), ("complaint", [["complaint"]]), ("answer", [["answer"]]), ("notice", [["notice"]]),
 ]
+#: Sentences of the summaries, here and in summary().
 SUMMARIES = {
     "motion_to_suppress": "Motion requesting exclusion of evidence from trial proceedings.", "motion_to_dismiss": "Motion seeking dismissal of charges or claims for legal insufficiency.",
     "motion_to_compel": "Motion requesting court order to compel compliance with discovery requests.", "motion_in_limine": "Pre-trial motion seeking to exclude prejudicial evidence or testimony.",
@@ -93,20 +95,38 @@ def simulated_ms(words: Column) -> Column:
     return F.when(words < 500, 10).when(words < 2000, 30).when(words < 5000, 60).otherwise(110)
 
 
+def _latin(text: Column) -> Column:
+    """One character for each byte of the UTF-8 of a text."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def _plain(raw: Column) -> Column:
+    return F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")
+
+
+_WHOLE = r"(?![\x80-\xBF])"
+
+
 def prompt(text: Column, file_name: Column, words: Column, limit: Column) -> Column:
-    """A classification prompt: what is known of the document, then its text up to the limit in bytes' worth of characters."""
-    shown = F.when(F.octet_length(text) > limit, F.concat(F.left(text, limit), F.lit("..."))).otherwise(text)
+    """A classification prompt: what is known of the document, then its text up to the limit in bytes, no character divided."""
+    head = F.call_function("regexp_extract", _latin(text), F.concat(F.lit("(?s)^(.{0,"), limit.cast("string"), F.lit("})" + _WHOLE)), F.lit(1))
+    shown = F.when(F.octet_length(text) > limit, F.concat(_plain(head), F.lit("..."))).otherwise(text)
     size = F.when(words < 500, "short").when(words < 2000, "medium").otherwise("long")
     return F.concat_ws("\n", F.concat(F.lit("File: "), F.coalesce(file_name, F.lit("unknown"))), F.format_string("Words: %d (%s)", words, size), F.lit("Text:"), shown)
 
 
+def window_bytes(text: Column) -> Column:
+    """The bytes of a text that batch classification sees: the second half thousand and the one after it, or a short text whole."""
+    raw = F.encode(text, "UTF-8")
+    return F.when(F.octet_length(text) > 500, F.substring(raw, 501, 1000)).otherwise(raw)
+
+
 def window(text: Column) -> Column:
-    """The part of a text that batch classification sees."""
-    return F.when(F.octet_length(text) > 500, F.substring(text, 501, 1000)).otherwise(text)
+    """The same as text: characters divided by either edge are left out."""
+    part = F.regexp_extract(_latin(text), r"(?s)^.{500}[\x80-\xBF]{0,3}(.{0,1000})" + _WHOLE, 1)
+    return F.when(F.octet_length(text) > 500, _plain(part)).otherwise(text)
 
 
 def hits(scored: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Search hits: id, score and the document as a struct."""
     return scored.join(index, key).select(F.col(key).alias("id"), "score", F.struct(*[F.col(c) for c in index.columns]).alias("document"))
-
-

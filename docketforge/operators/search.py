@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..schema import column_of
+from ..session import work_dir
+from .predicates import SearchRequest, compile_request
+
 K1, B = 1.2, 0.75
 #: Fields that a query searches, with their boosts.
 FIELDS = {"text": 2.0, "subject": 1.5, "case_name": 1.5, "file_name": 1.0}
@@ -21,50 +27,121 @@ SYNONYMS = [
 ]
 
 
+#: What a word is: a run of letters and digits of any script.
+WORD = r"[\p{L}\p{N}]+"
+
+
 def tokens(col: Column, stop: bool = False) -> Column:
     """The lower-cased words of a text; null gives none."""
-    words = F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
     words = F.coalesce(words, F.array().cast("array<string>"))
     return F.filter(words, lambda w: ~w.isin(*STOP)) if stop else words
 
 
 def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
-def _equals(term: str):
-    return lambda x: x == term
+def _equals(term: str, fuzzy: bool):
+    edits = edits_allowed(term) if fuzzy else 0
+    if not edits:
+        return lambda x: x == term
+    # levenshtein with a bound gives -1 beyond it
+    return lambda x: (F.abs(F.length(x) - len(term)) <= edits) & (F.levenshtein(x, F.lit(term), edits) >= 0)
 
 
-def bm25(df: DataFrame, key: str, field: str, terms: list[str], top: int | None = None) -> DataFrame:
-    """(key, score) of the rows in which a term occurs.
+def scored(df: DataFrame, key: str, terms: list[str], fields: dict[str, float], kept: Column | None = None, fuzzy: bool = False) -> DataFrame:
+    """(key, score) of the kept rows in which a term occurs: the best of the fields' boosted BM25 scores.
 
-    Only the occurrences of query terms leave the scan; the document frequencies are a few
-    numbers, aggregated in the same pass as the mean length.
+    One pass reads the fields and counts the words and the terms in each row. The statistics
+    (rows, mean length, document frequencies) are those of all rows of df, kept or not, and are
+    observed in the same pass, so that a filter never changes a score. Only the counts of rows
+    with a term are written, to the shared folder. With fuzzy a word counts for a term within the
+    edits that the term's length allows.
     """
-    # the words are bound by a lambda, so that they are made once and not for each term
-    counts = F.transform(F.array(tokens(F.col(field))), lambda w: F.struct(F.size(w).alias("dl"), *[F.size(F.filter(w, _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]))
-    per = df.select(key, F.explode(counts).alias("c")).select(key, "c.*").where("dl > 0")
-    whole = per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = per.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
-    # one scalar subquery of a few numbers, whatever the size of the corpus
-    hit = hit.withColumn("__s", whole.select(F.struct("*")).scalar()).select(*hit.columns, "__s.*")
-    score = sum(
-        (F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for i in range(len(terms))),
-        F.lit(0.0),
-    )
-    out = hit.select(key, score.alias("score"))
+    spark = df.sparkSession
+    terms = list(terms)
+    empty = f"`{key}` {df.schema[key].dataType.simpleString()}, score double"
+    if not terms or not fields:
+        return spark.createDataFrame([], empty)
+    names = {f: f"f{i}" for i, f in enumerate(fields)}
+    count = lambda w: F.struct(F.size(w).alias("dl"), *[F.size(F.filter(w, _equals(t, fuzzy))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counts = F.struct(*[F.transform(F.array(tokens(F.col(f))), count)[0].alias(n) for f, n in names.items()])
+    # explode keeps the counts from being made again in each place that uses them
+    keep = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
+    per = df.select(key, keep.alias("kept"), F.explode(F.array(counts)).alias("c")).select(key, "kept", "c.*")
+    seen = Observation()
+    aggs = []
+    for n in names.values():
+        aggs += [F.count_if(F.col(f"{n}.dl") > 0).alias(f"{n}_n"), F.sum(f"{n}.dl").alias(f"{n}_len")]
+        aggs += [F.count_if(F.col(f"{n}.tf{i}") > 0).alias(f"{n}_df{i}") for i in range(len(terms))]
+    any_term = " or ".join(f"{n}.tf{i} > 0" for n in names.values() for i in range(len(terms)))
+    hits = per.observe(seen, *aggs).where(f"kept and ({any_term})").select(key, *names.values())
+    path = work_dir(spark)
+    hits.write.parquet(path)
+    s = {k: v or 0 for k, v in seen.get.items()}
+    best = []
+    for f, n in names.items():
+        mean = s[f"{n}_len"] / s[f"{n}_n"] if s[f"{n}_n"] else 1.0
+        dl = F.col(f"{n}.dl")
+        parts = []
+        for i in range(len(terms)):
+            tf, df_ = F.col(f"{n}.tf{i}"), s[f"{n}_df{i}"]
+            idf = math.log(1 + (s[f"{n}_n"] - df_ + 0.5) / (df_ + 0.5))
+            parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(mean)))))
+        best.append(sum(parts[1:], parts[0]) * fields[f])
+    score = F.greatest(*best) if len(best) > 1 else best[0]
+    return spark.read.schema(hits.schema).parquet(path).select(key, score.alias("score"))
+
+
+def bm25(df: DataFrame, key: str, field: str, terms: list[str], top: int | None = None) -> DataFrame:
+    """(key, score) of the rows in which a term occurs in one field."""
+    out = scored(df, key, terms, {field: 1.0})
     return out.orderBy(F.desc("score"), F.asc(key)).limit(top) if top else out
 
 
-def best_fields(df: DataFrame, key: str, query: str, fields: dict[str, float] = FIELDS) -> DataFrame:
+def best_fields(df: DataFrame, key: str, query: str, fields: dict[str, float] = FIELDS, kept: Column | None = None, fuzzy: bool = False) -> DataFrame:
     """(key, score): the best of the fields' boosted scores."""
-    terms = query_terms(query)
-    parts = [bm25(df, key, f, terms).select(key, (F.col("score") * boost).alias("score")) for f, boost in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key).agg(F.max("score").alias("score"))
+    return scored(df, key, query_terms(query), fields, kept, fuzzy)
+
+
+@dataclass
+class Found:
+    """What a search gives: all matches, their number, the highest score, and the page asked for with its highlights."""
+
+    matches: DataFrame
+    total: int
+    max_score: float | None
+    page: DataFrame
+
+
+def search(index: DataFrame, request: SearchRequest, key: str = "doc_id", fields: dict[str, float] = FIELDS) -> Found:
+    """A whole request: filters, ranked text (fuzzy if asked for), order, page, highlights, total and highest score.
+
+    Without a query every row that passes the filters matches with score 1. Nulls come last in
+    any order and ties go by key. Highlights are made for the rows of the page only.
+    """
+    r = request.checked()
+    kept = compile_request(r)
+    terms = query_terms(r.query)
+    if terms:
+        matches = scored(index, key, terms, fields, kept, r.fuzzy_search)
+    else:
+        matches = index.where(kept).select(key, F.lit(1.0).alias("score"))
+    one = matches.agg(F.count("*").alias("n"), F.max("score").alias("top")).first()
+    if r.sort_by in ("relevance", "relevance_score", "_score"):
+        order = F.asc("score") if r.sort_order == "asc" else F.desc("score")
+        ids = matches.orderBy(order, F.asc(key)).offset(r.offset).limit(r.size)
+        rows = ids.join(index, key)
+    else:
+        col = F.col(column_of(r.sort_by))
+        order = col.asc_nulls_last() if r.sort_order == "asc" else col.desc_nulls_last()
+        rows = matches.join(index, key).orderBy(order, F.asc(key)).offset(r.offset).limit(r.size)
+    if r.include_highlights and terms and not r.fuzzy_search:
+        pattern = F.lit(rf"(?i)(?<![^\W_])(?:{'|'.join(map(re.escape, terms))})(?![^\W_])")
+        marks = [F.when(F.col(f).isNotNull(), fragments(F.col(f), pattern)).alias(f) for f in ("text", "subject", "case_name") if f in index.columns]
+        rows = rows.withColumn("highlights", F.struct(*marks))
+    return Found(matches, one.n, one.top, rows)
 
 
 def all_terms(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
@@ -89,7 +166,7 @@ def fuzzy_terms(df: DataFrame, field: str, query: str) -> DataFrame:
 
 def highlight(col: Column, terms: list[str]) -> Column:
     """The text with each term in <mark>."""
-    return F.regexp_replace(col, rf"(?i)(?<![0-9A-Za-z])({'|'.join(map(re.escape, terms))})(?![0-9A-Za-z])", "<mark>$1</mark>")
+    return F.regexp_replace(col, rf"(?iu)(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, terms))})(?![\p{{L}}\p{{N}}])", "<mark>$1</mark>")
 
 
 @F.pandas_udf(ArrayType(StringType()))

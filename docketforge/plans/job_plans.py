@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import jobs, metrics
-from ..session import table
+from ..session import table, work_dir
 from ..streaming import streams
 
 
@@ -56,7 +56,7 @@ def tumbling(s, d):
 
 
 def session_counts(s, d):
-    return streams.run_to_table(streams.sessions(streams.read_events(s, d)), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.run_to_table(streams.sessions(streams.read_events(s, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def bucket(s, d):
@@ -65,7 +65,7 @@ def bucket(s, d):
 
 def queue_drain(s, d):
     """Items fed through a stream batch by batch, then counted by type."""
-    base = streams.work_dir(s)
+    base = work_dir(s)
     streams.drain(streams.read_events(s, d), lambda batch, n: batch.select("event_id", "event_type").write.mode("overwrite").parquet(f"{base}/batch-{n}"))
     return s.read.parquet(f"{base}/batch-*").groupBy("event_type").agg(F.count_distinct("event_id").alias("n"))
 
@@ -103,7 +103,10 @@ QUERIES = {
         lambda s, d: metrics.counters(_points(s, d), "name", "ts", "value", "event_id"),
         "SELECT event_type AS name, round(sum(value), 4) AS counter, arg_max(value, (ts, event_id)) AS gauge FROM events GROUP BY 1",
     ),
-    "moving_average": (lambda s, d: metrics.moving_average(_points(s, d), "name", "ts", "value", "event_id"), None),
+    "moving_average": (
+        lambda s, d: metrics.moving_average(_points(s, d), "name", "ts", "value", "event_id"),
+        "SELECT event_type AS name, round(sum(value * CASE WHEN r = n THEN pow(2.0, 1 - r) ELSE pow(2.0, -r) END), 6) AS ema FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r < 900 GROUP BY 1",
+    ),
     "alerts": (
         alerts,
         "SELECT event_id, CASE WHEN k = 0 AND value > 90 THEN 'critical' WHEN k = 0 AND value > 80 THEN 'warning' WHEN k = 1 AND value > 95 THEN 'critical' WHEN k = 1 AND value > 85 THEN 'warning' WHEN k = 2 AND value > 1000 THEN 'warning' WHEN k = 3 AND value > 1000 THEN 'warning' ELSE 'ok' END AS alert FROM (SELECT *, event_id % 4 AS k FROM events)",
@@ -119,7 +122,10 @@ QUERIES = {
     "migration_stats": (migration, "SELECT coalesce(document_type, '') AS document_type, count(*) AS n, round(avg(confidence) FILTER (confidence > 0), 6) AS avg_confidence, count(*) FILTER (confidence < 0.7) AS n_low FROM classification_results GROUP BY 1"),
     "case_sizes": (case_sizes, "SELECT case_number, n_docs, CAST(n_bytes AS BIGINT) AS n_bytes, n_names FROM (SELECT case_number, count(*) AS n_docs, sum(size) AS n_bytes FROM documents WHERE case_number IS NOT NULL GROUP BY 1) LEFT JOIN (SELECT case_number, count(DISTINCT name) AS n_names FROM parties WHERE case_number IS NOT NULL GROUP BY 1) USING (case_number)"),
     "stream_tumbling": (tumbling, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
-    "stream_sessions": (session_counts, None),
+    "stream_sessions": (
+        session_counts,
+        "SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts > before + INTERVAL 30 MINUTES OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, no",
+    ),
     "stream_token_bucket": (bucket, None),
     "stream_queue_drain": (queue_drain, "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1"),
 }

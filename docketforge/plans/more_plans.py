@@ -84,7 +84,8 @@ def summaries(s, d):
 
 def rule_entities(s, d):
     docs = table(s, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.size(projection.entities(F.col("text"), F.col("file_name"), text.word_count(F.col("text")))).alias("n"))
+    e = projection.entities(F.col("text"), F.col("file_name"), text.word_count(F.col("text")))
+    return docs.select("doc_id", F.array_join(F.transform(e, lambda x: F.concat_ws("|", x["type"], x["text"], x["confidence"].cast("string"))), ";").alias("entities"))
 
 
 def cascaded(s, d):
@@ -101,7 +102,8 @@ def attempts(s, d):
 def windows_and_prompts(s, d):
     t = table(s, d, "documents").where("text is not null")
     w = text.word_count(F.col("text"))
-    return t.select("doc_id", projection.window(F.col("text")).alias("part"), F.octet_length(projection.prompt(F.col("text"), F.col("file_name"), w, projection.text_limit(w, F.lit(2)))).alias("prompt_bytes"))
+    head = projection.prompt(F.col("text"), F.col("file_name"), w, projection.text_limit(w, F.lit(2)))
+    return t.select("doc_id", F.md5(projection.window_bytes(F.col("text"))).alias("window"), F.octet_length(projection.window_bytes(F.col("text"))).alias("window_bytes"), F.substring_index(head, "\n", 2).alias("head"))
 
 
 def run_stats(s, d):
@@ -177,13 +179,19 @@ QUERIES = {
         summaries,
         f"SELECT id, {_SUM} || CASE WHEN w < 300 THEN ' This brief document contains essential case information.' WHEN w > 3000 THEN ' This comprehensive document provides detailed legal analysis and extensive case documentation.' ELSE ' Document contains ' || w || ' words across 2 pages with relevant case details.' END AS summary, CASE WHEN w < 500 THEN 8000 WHEN w < 2000 THEN 10000 WHEN w > 10000 THEN 12000 ELSE 8000 END AS text_limit, CASE WHEN w < 500 THEN 10 WHEN w < 2000 THEN 30 WHEN w < 5000 THEN 60 ELSE 110 END AS ms FROM (SELECT id, {WORDS_SQL} AS w, {TYPE_SQL} AS k FROM {TEXTS_SQL})",
     ),
-    "rule_entities": (rule_entities, f"SELECT doc_id, CAST(contains(lower(text), 'john') AS INT) + CAST(contains(lower(text), 'court') AS INT) + CAST(contains(text, '$') AS INT) + CAST(coalesce(file_name, '') <> '' AS INT) + CAST({WORDS_SQL} > 0 AS INT) AS n FROM documents WHERE text IS NOT NULL"),
+    "rule_entities": (
+        rule_entities,
+        f"SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'john') THEN 'PERSON|John Smith|0.9' END, CASE WHEN contains(lower(text), 'court') THEN 'ORGANIZATION|Superior Court|0.8' END, CASE WHEN contains(text, '$') THEN 'MONEY|$10,000|0.7' END, CASE WHEN coalesce(file_name, '') <> '' THEN 'DOCUMENT|' || file_name || '|1.0' END, CASE WHEN {WORDS_SQL} > 0 THEN 'DOCUMENT_METRIC|' || {WORDS_SQL} || ' words|1.0' END], lambda x: x IS NOT NULL), ';') AS entities FROM documents WHERE text IS NOT NULL",
+    ),
     "provider_cascade": (
         cascaded,
         f"SELECT id, CASE WHEN trim(text, ' ') = '' THEN 'other' ELSE {TYPE_SQL.replace(chr(39) + 'brief' + chr(39) + ' ELSE', chr(39) + 'brief' + chr(39) + ' WHEN ' + WORDS_SQL + ' < 1000 THEN ' + chr(39) + 'order' + chr(39) + ' ELSE')} END AS document_type, CASE WHEN trim(text, ' ') = '' THEN 'Civil Law' ELSE {CATEGORY_SQL} END AS legal_category, trim(text, ' ') <> '' AND strlen(text) <= 2000 AS fell_back FROM {TEXTS_SQL}",
     ),
     "provider_attempts": (attempts, "SELECT doc_id, arg_min(provider, CASE WHEN success THEN (processed_at, result_id) END) AS provider, count(*) AS tries, count(*) FILTER (success) AS successes FROM classification_results GROUP BY doc_id"),
-    "prompt_windows": (windows_and_prompts, None),
+    "prompt_windows": (
+        windows_and_prompts,
+        f"SELECT doc_id, md5(unhex(h)) AS window, CAST(length(h) / 2 AS INT) AS window_bytes, 'File: ' || coalesce(file_name, 'unknown') || chr(10) || 'Words: ' || w || ' (' || CASE WHEN w < 500 THEN 'short' WHEN w < 2000 THEN 'medium' ELSE 'long' END || ')' AS head FROM (SELECT doc_id, file_name, {WORDS_SQL} AS w, CASE WHEN strlen(text) > 500 THEN substr(hex(encode(text)), 1001, 2000) ELSE hex(encode(text)) END AS h FROM documents WHERE text IS NOT NULL)",
+    ),
     "run_stats": (run_stats, "SELECT provider, count(*) AS n, count(*) FILTER (success) AS n_ok, round(100.0 * count(*) FILTER (success) / count(*), 4) AS success_rate, CAST(sum(processing_time_ms) AS BIGINT) AS total_ms, round(sum(processing_time_ms) / nullif(count(*) FILTER (success), 0), 4) AS ms_per_success FROM classification_results GROUP BY provider"),
     "upload_stats": (upload_stats, "SELECT coalesce(content_type, '') AS content_type, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes, count(*) FILTER (size > 0) AS n_ok FROM storage_objects GROUP BY 1"),
     "multi_file_status": (multi_file, "SELECT doc_id, CASE WHEN count(*) FILTER (success) = 0 THEN 'failed' WHEN count(*) FILTER (NOT success) > 0 THEN 'partial_success' ELSE 'completed' END AS status FROM extraction_results GROUP BY doc_id"),

@@ -88,6 +88,12 @@ def _q(p: str) -> str:
 PATHS_SQL = f"array_to_string(list_filter(list_transform({_LINES}, lambda x: {_TRIM}), lambda x, i: NOT (regexp_matches(x, {_q(text.PATH_WITH_TIME)}) OR regexp_matches(x, {_q(text.PATH_NESTED)}) OR (i < 4 AND regexp_matches(x, {_q(text.PATH_AT_START)})))), chr(10))"
 HTML_SQL = _chain(_replaced(_chain("{}", [(r"<[^>]*>", " ")]), text.ENTITIES), [(r"&#\d+;", " "), (r"&#x[0-9a-fA-F]+;", " "), (text.ATTRIBUTES, "")])
 PRINTER_SQL = _chain(_replaced("{}", [(x, "") for x in text.PRINTER_LITERALS]), [(p, " ") for p in text.PRINTER_PATTERNS])
+_NUMS = "regexp_extract_all(x, '\\d+')"
+_IS_SEQ = (
+    f"(regexp_matches(x, '^\\s*(\\d+\\s+){{5,}}') AND coalesce(list_sum(list_transform(range(1, least(len({_NUMS}), 10)), lambda i: CASE WHEN length({_NUMS}[i]) <= 2 AND length({_NUMS}[i + 1]) <= 2 "
+    f"AND try_cast({_NUMS}[i + 1] AS INT) - try_cast({_NUMS}[i] AS INT) = 1 THEN 1 ELSE 0 END)), 0) / (least(len({_NUMS}), 10) - 1) > 0.7)"
+)
+SEQUENCES_SQL = f"array_to_string(list_filter(list_transform(string_split({{}}, chr(10)), lambda x: {_TRIM}), lambda x: NOT {_IS_SEQ}), chr(10))"
 DRIVES_SQL = _chain("{}", [(p, "") for p in text.DRIVE_PATTERNS])
 COLLAPSE_SQL = _chain("{}", [(r"\s+", " "), (text.ENDS, "")])
 
@@ -96,6 +102,9 @@ def _fill(template: str, inner: str) -> str:
     return template.replace("{}", inner)
 
 
+STEPS_SQL = _fill(DRIVES_SQL, _fill(SEQUENCES_SQL, _fill(PRINTER_SQL, _fill(HTML_SQL, PATHS_SQL))))
+
+
 def clean_html(s, d):
     return texts(s, d).select("id", text.strip_html(F.col("text")).alias("out"))
 
@@ -113,7 +122,6 @@ def _cascade_sql(rules, otherwise: str, low: str = "lower(text)") -> str:
     return "CASE " + " ".join(f"WHEN {one(ways)} THEN {_q(label)}" for label, ways in rules) + f" ELSE {otherwise} END"
 
 
-WORDS_SQL = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
 WORDS_SQL = "len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'))"
 SIZE_SQL = f"CASE WHEN {WORDS_SQL} < 200 THEN 'notice' WHEN {WORDS_SQL} < 500 THEN 'correspondence' WHEN {WORDS_SQL} > 5000 THEN 'brief' ELSE 'other' END"
 TYPE_SQL = _cascade_sql(classify.TYPE_RULES, SIZE_SQL)
@@ -205,6 +213,20 @@ def redaction_mask(s, d):
     return texts(s, d).select("id", redact.masked(F.col("text")).alias("out"))
 
 
+def _mask_sql() -> str:
+    out = f"(SELECT id, text FROM {TEXTS_SQL})"
+    for _, p, _ in redact.PATTERNS:
+        out = f"(SELECT id, array_to_string(list_transform(range(1, len(h) + 2), lambda i: p[i] || coalesce(repeat('■', strlen(h[i])), '')), '') AS text FROM (SELECT id, string_split_regex(text, {_q(p)}) AS p, regexp_extract_all(text, {_q(p)}, 0) AS h FROM {out}))"
+    return f"SELECT id, text AS out FROM {out}"
+
+
+def redaction_items(s, d):
+    """Two given overlapping places of each text masked, and one outside it left out."""
+    t = table(s, d, "documents").where("length(text) >= 20").select("doc_id", F.substring("text", 1, 20).alias("text"))
+    items = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((2, 6), (4, 8), (90, 95), (7, 3))])
+    return t.select("doc_id", redact.redacted(F.col("text"), items).alias("out"))
+
+
 def text_counts(s, d):
     t = table(s, d, "documents")
     return t.select("doc_id", F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_characters"), text.word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), (F.sha2("text", 256) == F.col("hash")).alias("hash_ok"))
@@ -243,7 +265,7 @@ def storage_filter(s, d):
 
 
 def file_search(s, d):
-    return storage.by_name(objects(s, d).select("path").distinct(), "motion").select("path")
+    return storage.by_name(objects(s, d).select("path").distinct(), "pleading").select("path")
 
 
 def path_checks(s, d):
@@ -264,27 +286,37 @@ def keys(s, d):
 
 
 def path_recovery(s, d):
-    some = objects(s, d).select("path").distinct()
-    return storage.recover(some, "zz_missing.pdf").unionByName(storage.recover(some, "motion.pdf"))
+    """By exact name, by name within the path, by the only candidate; and a path of which nothing is stored."""
+    some = objects(s, d).select("path").distinct().unionByName(literal(s, STORED).select(F.col("text").alias("path")))
+    out = None
+    for wanted in WANTED:
+        part = storage.recover(some, wanted).select(F.lit(wanted).alias("wanted"), "path", "match_rank")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-_STORED = {"storage_page": None}
+STORED = ["documents/brief.pdf", "documents/brief.pdf.bak", "documents/only_one_7.txt"]
+WANTED = ["x/brief.pdf", "y/scan_queue", "doc_9_only_one_8.txt", "zz_missing.pdf"]
+_RECOVER_SQL = "SELECT 'x/brief.pdf' AS wanted, 'documents/brief.pdf' AS path, 1 AS match_rank UNION ALL (SELECT 'y/scan_queue', path, 2 FROM storage_objects WHERE starts_with(path, 'documents/scan_queue') ORDER BY path LIMIT 1)"
 
 QUERIES = {
     "clean_paths": (_map(text.drop_path_lines), _sql(PATHS_SQL)),
     "clean_html": (clean_html, _sql(_fill(HTML_SQL, "text"))),
     "clean_printer": (_map(text.strip_printer), _sql(_fill(PRINTER_SQL, "text"))),
     "clean_drives": (_map(text.strip_drives), _sql(_fill(DRIVES_SQL, "text"))),
-    "clean_sequences": (_map(text.drop_sequences), None),
-    "clean_text": (_map(lambda t: text.clean_text(t, sequences=False)), _sql(_fill(COLLAPSE_SQL, _fill(DRIVES_SQL, _fill(PRINTER_SQL, _fill(HTML_SQL, PATHS_SQL)))))),
-    "clean_keep_lines": (_map(lambda t: text.clean_text(t, keep_lines=True)), None),
+    "clean_sequences": (_map(text.drop_sequences), _sql(_fill(SEQUENCES_SQL, "text"))),
+    "clean_text": (_map(text.clean_text), _sql(_fill(COLLAPSE_SQL, STEPS_SQL))),
+    "clean_keep_lines": (
+        _map(lambda t: text.clean_text(t, keep_lines=True)),
+        _sql(_chain("array_to_string(list_transform(string_split(replace(" + STEPS_SQL + ", chr(13) || chr(10), chr(10)), chr(10)), lambda x: " + _fill(COLLAPSE_SQL, "x") + "), chr(10))", [(r"\n{3,}", "\n\n"), (text.ENDS, "")])),
+    ),
     "sanitize_input": (
         _map(text.sanitise),
         _sql(_replaced(_chain(_replaced(_chain(_replaced(_chain("text", [(text.ENDS, ""), (r"(?s)<script[^>]*>.*?</script>", ""), (r"(?s)<script[^>]*>.*$", "")]), [("<script", "")]), [(r"(?s)<iframe[^>]*>.*?</iframe>", ""), (r"(?s)<iframe[^>]*>.*$", "")]), [("<iframe", "")]), [(r"javascript:[^ \t\n\r]*", "")]), [(p, "") for p in text.DANGEROUS])),
     ),
     "text_counts": (text_counts, f"SELECT doc_id, CAST(strlen(text) AS INT) AS n_bytes, CAST(length(text) AS INT) AS n_characters, CAST({WORDS_SQL} AS INT) AS n_words, sha256(text) AS sha256, md5(text) AS md5, sha256(text) = hash AS hash_ok FROM documents"),
     "language_detect": (_map(text.language, "language"), _sql("CASE WHEN len(w) > 0 AND len(list_filter(w, lambda x: x IN (" + ", ".join(map(_quoted, text.ENGLISH)) + "))) / len(w) > 0.2 THEN 'en' ELSE 'unknown' END", "language").replace(TEXTS_SQL, f"(SELECT id, regexp_extract_all(lower(text), '[^ \\t\\n\\v\\f\\r]+')[:100] AS w FROM {TEXTS_SQL})")),
-    "fallback_text": (lambda s, d: objects(s, d).select("path", text.fallback_text(F.col("path")).alias("text")).distinct(), None),
+    "fallback_text": (lambda s, d: objects(s, d).select("path", text.fallback_text(F.col("path")).alias("text")).distinct(), "SELECT DISTINCT path, 'Document: ' || regexp_replace(n, '[_-]+', ' ', 'g') || ' Type: ' || CASE " + " ".join(f"WHEN contains(lower(n), '{w}') THEN '{w}'" for w in ("motion", "order", "brief", "complaint", "notice")) + " WHEN contains(lower(n), 'letter') THEN 'correspondence' ELSE 'legal document' END AS text FROM (SELECT path, regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '') AS n FROM storage_objects)"),
     "subject_from_summary": (lambda s, d: table(s, d, "classification_results").select("result_id", text.subject_of(F.col("summary")).alias("subject")), "SELECT result_id, CASE WHEN len(w) > 12 THEN array_to_string(w[:12], ' ') || '...' ELSE array_to_string(w, ' ') END AS subject FROM (SELECT result_id, string_split(string_split(summary, '. ')[1], ' ') AS w FROM classification_results)"),
     "classify_rules": (type_of, f"SELECT id, {TYPE_SQL} AS document_type, {CATEGORY_SQL} AS legal_category FROM {TEXTS_SQL}"),
     "classify_confidence": (
@@ -314,15 +346,16 @@ QUERIES = {
     "date_ranges": (date_ranges, None),
     "redaction_hits": (redaction_hits, _hits_sql()),
     "redaction_summary": (redaction_summary, f"SELECT pii_type, legal_code, count(*) AS n, count(DISTINCT hit) AS n_distinct FROM ({_hits_sql()}) GROUP BY 1, 2"),
-    "redaction_mask": (redaction_mask, _sql(_chain("text", [(p, "■■■") for _, p, _ in redact.PATTERNS]))),
-    "llm_json_parse": (llm_reply, None),
+    "redaction_mask": (redaction_mask, _mask_sql()),
+    "redaction_items": (redaction_items, "SELECT doc_id, repeat('■', strlen(text[3:8])) || text[9:20] AS out FROM (SELECT doc_id, text[3:22] AS text FROM (SELECT doc_id, '  ' || text AS text FROM documents WHERE length(text) >= 20))".replace("repeat('■', strlen(text[3:8])) || text[9:20]", "text[1:2] || array_to_string(list_transform(range(3, 9), lambda i: repeat('■', strlen(text[i:i]))), '') || text[9:20]")),
+    "llm_json_parse": (llm_reply, "SELECT * FROM (VALUES (0, 'order', 'Civil Law', 0.9::DOUBLE), (1, 'other', 'Civil Law', 0.64), (2, 'other', 'Civil Law', 0.5), (3, 'other', 'Tax Law', 0.5), (4, 'other', 'Civil Law', 0.5)) v(id, document_type, legal_category, confidence)"),
     "event_props": (event_props, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     "storage_latest": (storage_latest, "SELECT path, arg_max(size, (last_modified, size)) AS size, max(last_modified) AS last_modified, count(*) AS n_versions FROM storage_objects GROUP BY path"),
     "storage_filter": (storage_filter, f"SELECT DISTINCT path, size, {_EXT} AS file_type, {_NAME} AS filename FROM storage_objects WHERE {_KEEP} AND size >= 500 AND size <= 20000 AND {_EXT} LIKE '%pdf'"),
     "storage_count": (lambda s, d: storage.documents(objects(s, d)).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM storage_objects WHERE {_KEEP}"),
     "storage_page": (lambda s, d: objects(s, d).select("path").distinct().orderBy("path").offset(50).limit(50), "SELECT DISTINCT path FROM storage_objects ORDER BY path LIMIT 50 OFFSET 50"),
-    "file_search": (file_search, f"SELECT DISTINCT path FROM storage_objects WHERE contains(lower({_NAME}), 'motion') ORDER BY path LIMIT 20"),
-    "path_recovery": (path_recovery, None),
+    "file_search": (file_search, f"SELECT DISTINCT path FROM storage_objects WHERE contains(lower({_NAME}), 'pleading') ORDER BY path LIMIT 20"),
+    "path_recovery": (path_recovery, _RECOVER_SQL),
     "path_validate": (path_checks, f"SELECT DISTINCT path, {_PATH_ERR.format(e=_EXT, a=', '.join(map(_q, storage.ALLOWED)), n=_NAME)} AS error FROM (SELECT path FROM storage_objects UNION ALL SELECT text FROM {values_sql(PATHS)})"),
     "storage_key_parse": (
         keys,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .session import table
 
@@ -28,30 +27,43 @@ def column_of(field: str) -> str:
     return name[: -len(".keyword")] if name.endswith(".keyword") else name
 
 
-def latest(df: DataFrame, key: str, *order) -> DataFrame:
-    """The last row of each key: last write wins."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+#: Columns of the index that come from the latest successful classification of a document.
+META = (
+    "document_type", "legal_category", "subject", "summary", "confidence", "legal_tags", "keywords", "status", "processed_at", "case_name", "court",
+)
+#: The judge that a text names: a title and a family name.
+JUDGE = r"(?:Judge|JUDGE|Justice|JUSTICE|Hon\.|HON\.) ([A-Z][A-Za-z]+)"
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document with the metadata of its latest successful classification."""
-    docs = table(spark, sf_dir, "documents")
-    results = table(spark, sf_dir, "classification_results").where("success")
-    last = latest(results, "doc_id", F.col("processed_at").desc_nulls_last(), F.col("result_id").desc())
-    meta = last.select(
-        "doc_id", "document_type", "legal_category", "subject", "summary", "confidence", "legal_tags", "keywords", "status", "processed_at",
-        F.col("case_info.case_name").alias("case_name"), F.col("court_info.court_name").alias("court"),
-    )
-    return docs.join(meta, "doc_id", "left")
+def document_index(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row a document with the metadata of its latest successful classification, its first attorney as author and the judge its text names.
+
+    With columns only these (and doc_id): what none of them needs is neither read nor joined.
+    """
+    wanted = list(dict.fromkeys(["doc_id", *columns])) if columns else None
+    out = table(spark, sf_dir, "documents")
+    if wanted is None or "judge" in wanted:
+        out = out.withColumn("judge", F.nullif(F.regexp_extract("text", JUDGE, 1), F.lit("")))
+    meta = [c for c in META if wanted is None or c in wanted]
+    if meta:
+        results = table(spark, sf_dir, "classification_results").where("success")
+        results = results.withColumn("case_name", F.col("case_info.case_name")).withColumn("court", F.col("court_info.court_name"))
+        # nulls are less than any time, so the latest has one if any does
+        last = results.groupBy("doc_id").agg(F.max_by(F.struct(*meta), F.struct(F.col("processed_at").alias("at"), "result_id")).alias("m"))
+        out = out.join(last.select("doc_id", "m.*"), "doc_id", "left")
+    if wanted is None or "author" in wanted:
+        named = table(spark, sf_dir, "attorneys").where("trim(name) <> ''")
+        out = out.join(named.groupBy("doc_id").agg(F.min_by("name", F.struct("attorney_no", "attorney_row_id")).alias("author")), "doc_id", "left")
+    return out.select(*wanted) if wanted else out
 
 
 #: The same view as SQL, for checking.
-INDEX_SQL = """
+INDEX_SQL = f"""
 document_index AS (
-  SELECT d.*, m.document_type, m.legal_category, m.subject, m.summary, m.confidence, m.legal_tags, m.keywords, m.status, m.processed_at,
-         m.case_info.case_name AS case_name, m.court_info.court_name AS court
+  SELECT d.*, nullif(regexp_extract(d.text, '{JUDGE}', 1), '') AS judge, m.document_type, m.legal_category, m.subject, m.summary, m.confidence, m.legal_tags, m.keywords, m.status, m.processed_at,
+         m.case_info.case_name AS case_name, m.court_info.court_name AS court, a.author
   FROM documents d LEFT JOIN (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY processed_at DESC NULLS LAST, result_id DESC) AS rk
-                   FROM classification_results WHERE success) WHERE rk = 1) m USING (doc_id))
+                   FROM classification_results WHERE success) WHERE rk = 1) m USING (doc_id)
+  LEFT JOIN (SELECT doc_id, arg_min(name, (attorney_no, attorney_row_id)) AS author FROM attorneys WHERE trim(name, ' ') <> '' GROUP BY doc_id) a USING (doc_id))
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on (time zone) or that large runs need (AQE).
@@ -29,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df shared over all cores where its scan gives fewer partitions than there are (a file of one row group)."""
+    """df shared over all cores where its files are fewer than these and give fewer partitions (a file of one row group)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder below the one that all executors share (spark.checkpoint.dir)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="docketforge-")
+    return f"{named.rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import io
+import os
 import re
 import zipfile
 import zlib
@@ -14,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.more import unescaped
+from ..functions.text import trimmed
+
 TEXT_EXTENSIONS = frozenset("txt md csv log json xml html htm rtf text".split())
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCHEMA = "path string, format string, text string, page_count int, word_count int, char_count bigint, success boolean, error string"
@@ -157,6 +161,70 @@ def format_of(name: Column) -> Column:
     return F.when(ext.isin("pdf", "docx"), ext).otherwise("txt")
 
 
+#: Formats by MIME type.
+MIME_FORMATS = {
+    "application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/msword": "doc", "text/plain": "txt", "application/rtf": "rtf",
+}
+
+
+def detected(name: Column, mime: Column) -> Column:
+    """The format of a file: its extension if a reader is registered for it, else what its MIME type says, else txt."""
+    ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+    known = sorted(set(READERS) | TEXT_EXTENSIONS)
+    by_mime = F.create_map(*[F.lit(x) for kv in MIME_FORMATS.items() for x in kv])[mime]
+    return F.when(ext.isin(*known), ext).otherwise(F.coalesce(by_mime, F.lit("txt")))
+
+
+def readable_lines(content: Column) -> Column:
+    """The lines of a file's text that are mostly printable, cleaned and put together: the last resort for a PDF."""
+    lines = F.transform(F.split(content, "\n"), trimmed)
+    printable = lambda x: F.length(F.regexp_replace(x, r"[\p{C}\p{Zl}\p{Zp}]", "")) / F.nullif(F.octet_length(x), F.lit(0))
+    kept = F.transform(F.filter(lines, lambda x: F.coalesce(printable(x) > 0.7, F.lit(False))), unescaped)
+    return F.array_join(F.filter(kept, lambda x: F.octet_length(x) > 2), " ")
+
+
+def upload(rows: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """Write one file a row below a folder that all executors reach; (name, size, error) a row, a file that fails does not stop the others.
+
+    A name must stay below the folder; rows that repeat a name overwrite it.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for n, c in zip(pdf[name], pdf[content]):
+                try:
+                    if not n or n.startswith("/") or ".." in n.split("/"):
+                        raise ValueError("bad name")
+                    path = os.path.join(folder, n)
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    data = bytes(c) if not isinstance(c, str) else c.encode()
+                    with open(path, "wb") as f:
+                        f.write(data)
+                    out.append((n, len(data), None))
+                except (OSError, ValueError, TypeError) as e:
+                    out.append((n, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["name", "size", "error"]).astype({"size": "Int64"})
+
+    return rows.select(name, content).mapInPandas(run, "name string, size bigint, error string")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; true if there was one."""
+    p, fs = _path(spark, path)
+    return fs.delete(p, True)
+
+
 def sniffed(content: Column) -> Column:
     """The format that the first bytes show."""
     head = F.substring(content, 1, 8)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,17 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="docketforge-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..session import work_dir
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -37,6 +26,8 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events by user and session. In append mode a session comes out when the watermark has passed it, so at the
+    end of a stream the last ones are still held; complete mode gives them too."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
