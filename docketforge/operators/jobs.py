@@ -25,9 +25,21 @@ def multi_status(success: Column, errors: Column) -> Column:
 
 
 def queue_order(items: DataFrame, queue: str, priority: str, created: str, key: str) -> DataFrame:
-    """The place of each item: high priority first, then first come first served."""
-    w = Window.partitionBy(queue).orderBy(F.desc(priority), F.asc(created), F.asc(key))
-    return items.withColumn("place", F.row_number().over(w))
+    """The place of each item: high priority first, then first come first served; items without a time come first.
+
+    Items that came in one hour with one priority are ranked together; how many items stand before
+    them comes from counts by hour, so no queue is sorted by one task.
+    """
+    kind = items.schema[created].dataType.typeName()
+    hour = F.date_trunc("hour", F.col(created)) if kind.startswith("timestamp") else F.lit(0)
+    parts = items.withColumn("__hour", hour)
+    same = [queue, priority, "__hour"]
+    counts = parts.groupBy(*same).agg(F.count("*").alias("__n"))
+    first = Window.partitionBy(queue).orderBy(F.desc(priority), F.asc("__hour")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*same, F.coalesce(F.sum("__n").over(first), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(*same).orderBy(F.asc(created), F.asc(key)))
+    met = parts.withColumn("__rank", rank).alias("i").join(before.alias("b"), [F.col(f"i.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same])
+    return met.select(*[F.col(f"i.{c}") for c in items.columns], (F.col("__rank") + F.col("__before")).cast("int").alias("place"))
 
 
 def backoff(attempt: Column, delay_s: int = 5) -> Column:

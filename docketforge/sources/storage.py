@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Types by extension.
 FILE_TYPES = {
@@ -85,5 +84,7 @@ def recover(objects: DataFrame, wanted: str) -> DataFrame:
         stems = ["_".join(parts[:2]), rest, rest.rsplit(".", 1)[0]]
     cand = F.array_compact(F.array(*[F.when(F.col("path").startswith(f"documents/{s}"), F.lit(i)) for i, s in enumerate(stems)]))
     c = objects.select("path", F.explode(cand).alias("prefix_no"))
-    rank = F.when(F.lower(base(F.col("path"))) == name.lower(), 1).when(F.lower("path").contains(name.lower()), 2).when(F.count("*").over(Window.partitionBy("prefix_no")) == 1, 3)
+    alone = c.groupBy("prefix_no").agg(F.count("*").alias("n"))  # a row a prefix
+    c = c.join(alone, "prefix_no")
+    rank = F.when(F.lower(base(F.col("path"))) == name.lower(), 1).when(F.lower("path").contains(name.lower()), 2).when(F.col("n") == 1, 3)
     return c.withColumn("match_rank", rank).where("match_rank is not null").orderBy("prefix_no", "match_rank", "path").limit(1).select("path", "match_rank")
