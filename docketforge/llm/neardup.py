@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import components, cut, forget, spread, table
 
@@ -34,20 +33,28 @@ TREES = 60
 DEPTH, DEEPEST = 3, 48
 #: Documents in a region from which it is divided by more minima.
 CROWD = 2048
+#: One in so many documents is counted to estimate the size of a region.
+ESTIMATE = 8
 #: Documents of crowded regions in which a sequence occurs from which it counts as crowding them.
 HEAVY = CROWD // 4
+#: Crowding sequences up to which they travel with the tasks (8 MB); more of them are joined.
+HEAVY_KNOWN = 1 << 20
 #: A document is mostly made of crowding sequences if it has so many of them for each other one.
 #: If one of a pair is not, then a threshold of 0.5 means that their other sequences have at least (1 - MOSTLY) / 2
 #: in common, and one of TREES * DEPTH minima over them is equal with chance 1 - (1 - 0.1) ** 180 > 1 - 1e-8.
 MOSTLY = 0.8
-#: Bits of each minimum in a sketch.
-BITS = 4
+#: Minima in a sketch, and the bits of each. Fewer would let many more pairs below the threshold through to the exact comparison.
+PARTS, BITS = TREES * DEPTH, 4
+#: Bits of the key of a region: two regions with one key only make more candidates.
+KEY_BITS = 40
 #: Words of the sequences that find candidates and decide.
 DECIDE_WORDS = 3
 MIN_WORDS = 40
 #: Deviations below its expected number of equal parts of the sketch, down to which a pair at the threshold is compared exactly.
 DEVIATIONS = 4
 SIMILARITY = 0.5
+#: Documents in a region up to which its pairs leave it at once, without sketches.
+FEW = 8
 #: Copies of one text whose pairs are listed by one task.
 COPIES = 1000
 
@@ -123,7 +130,7 @@ def _minima(column) -> np.ndarray:
 
 def _mixed(x: np.ndarray, salt) -> np.ndarray:
     x = x * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(31)) ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(31)) ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - KEY_BITS)
 
 
 def _labels(batches):
@@ -140,28 +147,31 @@ def _labels(batches):
 
 
 def _deeper(start: int, stop: int):
-    """Rows (region, doc_id, tree, sig) with the region of the prefix of stop minima; a label goes on with the minima of the next trees."""
+    """Rows (doc_id, sig, regions, trees) of a document -> (region, doc_id, tree) of the prefixes of stop minima; a label goes on with the minima of the next trees."""
 
     def run(batches):
         n = TREES * DEPTH
         for batch in batches:
             if not batch.num_rows:
                 continue
-            region, tree, sig = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.int64), _minima(batch.column(3)).astype(np.uint64)
+            sizes = [len(t) for t in batch.column(3).to_pylist()]
+            region = batch.column(2).flatten().to_numpy().view(np.uint64)
+            tree = batch.column(3).flatten().to_numpy().astype(np.int64)
+            sig = np.repeat(_minima(batch.column(1)).astype(np.uint64), sizes, axis=0)
             for k in range(start, stop):
                 region = _mixed(region ^ sig[np.arange(len(region)), (tree * DEPTH + k) % n], k)
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(1), batch.column(2)], names=["region", "doc_id", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(tree.astype(np.int32))], names=["region", "doc_id", "tree"])
 
     return run
 
 
 def _sketches(batches):
-    """The highest BITS bits of each stored minimum, packed into words of 64 bits."""
+    """The highest BITS bits of PARTS of the stored minima, packed into words of 64 bits."""
     per = 64 // BITS
     for batch in batches:
         if not batch.num_rows:
             continue
-        top = (_minima(batch.column(1)) >> (16 - BITS)).astype(np.uint64)
+        top = (_minima(batch.column(1))[:, :PARTS] >> (16 - BITS)).astype(np.uint64)
         top = np.pad(top, ((0, 0), (0, -top.shape[1] % per))).reshape(batch.num_rows, -1, per)
         words = np.bitwise_or.reduce(top << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary())], names=["doc_id", "sketch"])
@@ -169,7 +179,7 @@ def _sketches(batches):
 
 def _agree(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of sketches have as many equal parts as a pair at the threshold has."""
-    n = TREES * DEPTH
+    n = PARTS
     chance = threshold + (1 - threshold) / 2**BITS
     least = n * chance - DEVIATIONS * (n * chance * (1 - chance)) ** 0.5
     other = x ^ y
@@ -203,6 +213,36 @@ def _whole_regions(batches):
         yield pa.Table.from_batches(held)
 
 
+def _of_small_regions(batches):
+    """Rows (region, doc_id) sorted by region -> (null, a, b) for each pair of a region of at most FEW, (region, a, null) for the rows of others."""
+    for t in _whole_regions(batches):
+        region, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+        size = np.repeat(np.diff(np.concatenate((first, [len(region)]))), np.diff(np.concatenate((first, [len(region)]))))
+        left, right = [], []
+        for k in range(1, FEW):
+            i = np.flatnonzero((region[:-k] == region[k:]) & (size[:-k] <= FEW)) if len(region) > k else np.empty(0, np.int64)
+            left.append(ids[i])
+            right.append(ids[i + k])
+        x, y = np.concatenate(left), np.concatenate(right)
+        big = np.flatnonzero(size > FEW)
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([none(len(x)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["region", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(region[big]), pa.array(ids[big]), none(len(big))], names=["region", "a", "b"])
+
+
+def _agreeing(threshold):
+    """The pairs (a, b) of rows (a, b, sketch, other) whose sketches agree."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                mask = pa.array(_agree(_words_of_sketches(batch.column(2)), _words_of_sketches(batch.column(3)), threshold))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return run
+
+
 def _meet(threshold):
     """Pairs with agreeing sketches of rows (region, doc_id, sketch) sorted by region: row i with row i + k for every k."""
 
@@ -248,6 +288,34 @@ def _sequences(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], names=["sequence", "n"])
 
 
+def _rare_keys(rare: np.ndarray) -> np.ndarray:
+    """A region for each minimum over rare sequences."""
+    sig = np.frombuffer(minima(rare), "<u2").astype(np.uint64)
+    return _mixed(sig ^ (np.arange(len(sig), dtype=np.uint64) << np.uint64(20)), 1 << 40).view(np.int64)
+
+
+def _rare_of(heavy: np.ndarray):
+    """(doc_id, text) -> the regions of a document's rare sequences, as _rare_regions gives them, and a row of region null for a document made mostly of heavy ones."""
+
+    def run(batches):
+        for batch in batches:
+            regions, ids, mostly = [], [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.unique(shingles(word_hashes(t), DECIDE_WORDS))
+                at = np.searchsorted(heavy, own)
+                is_heavy = heavy[np.minimum(at, len(heavy) - 1)] == own if len(heavy) else np.zeros(len(own), bool)
+                rare = own[~is_heavy]
+                if len(rare):
+                    regions.append(_rare_keys(rare))
+                    ids.append(np.full(len(regions[-1]), d))
+                if is_heavy.sum() >= MOSTLY * len(rare):
+                    mostly.append(d)
+            region, doc = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (regions, ids))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(region, pa.int64()), pa.nulls(len(mostly), pa.int64())]), pa.array(np.concatenate((doc, np.array(mostly, np.int64))))], names=["region", "doc_id"])
+
+    return run
+
+
 def _exploded(batches):
     """(doc_id, sequence) of every sequence of every document, a few documents at once."""
     for batch in batches:
@@ -259,15 +327,18 @@ def _exploded(batches):
 
 
 def _rare_regions(batches):
-    """(region, doc_id) for each minimum over the rare sequences (doc_id, sequences) of a document."""
+    """(doc_id, sequences, n_heavy) -> (region, doc_id) for each minimum over the rare sequences of a document, and a row of region null if it is made mostly of heavy ones."""
     for batch in batches:
-        ids, keys = [], []
-        for d, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
-            sig = np.frombuffer(minima(seq.values.to_numpy().view(np.uint64)), "<u2").astype(np.uint64)
-            keys.append(_mixed(sig ^ (np.arange(len(sig), dtype=np.uint64) << np.uint64(20)), 1 << 40))
-            ids.append(np.full(len(sig), d))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["region", "doc_id"])
+        regions, ids, mostly = [], [], []
+        for d, seq, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            rare = seq.values.to_numpy().view(np.uint64)
+            if len(rare):
+                regions.append(_rare_keys(rare))
+                ids.append(np.full(len(regions[-1]), d))
+            if n >= MOSTLY * len(rare):
+                mostly.append(d)
+        region, doc = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (regions, ids))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(region, pa.int64()), pa.nulls(len(mostly), pa.int64())]), pa.array(np.concatenate((doc, np.array(mostly, np.int64))))], names=["region", "doc_id"])
 
 
 def _sets(batches):
@@ -302,24 +373,37 @@ def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame, sketches: DataFrame, threshold: float, scratch: list) -> DataFrame:
-    """Pairs (a, b) with agreeing sketches among the rows (region, doc_id) of each region; regions are small."""
-    size = F.count("*").over(Window.partitionBy("region"))
-    shared = cut(rows.select("region", "doc_id", size.alias("size")).where("size > 1").select("region", "doc_id"))
+    """Pairs (a, b) with agreeing sketches among the rows (region, doc_id) of each region; no region has many more than CROWD.
+
+    Near-duplicates meet in many trees: the pairs of the smallest regions are told apart before a sketch is looked at.
+    """
+    regions = rows.select("region", "doc_id").repartition("region").sortWithinPartitions("region")
+    shared = cut(regions.mapInArrow(_of_small_regions, "region bigint, a bigint, b bigint"))
     scratch.append(shared)
-    met = shared.join(sketches, "doc_id").select("region", "doc_id", "sketch")
-    return met.repartition("region").sortWithinPartitions("region").mapInArrow(_meet(threshold), "a bigint, b bigint")
+    pairs = shared.where("b is not null").select("a", "b").distinct()
+    of = lambda key, name: sketches.select(F.col("doc_id").alias(key), F.col("sketch").alias(name))
+    few = pairs.join(of("a", "sketch"), "a").join(of("b", "other"), "b").select("a", "b", "sketch", "other").mapInArrow(_agreeing(threshold), "a bigint, b bigint")
+    met = shared.where("b is null").select("region", F.col("a").alias("doc_id")).join(sketches, "doc_id").select("region", "doc_id", "sketch")
+    return few.unionByName(met.repartition("region").sortWithinPartitions("region").mapInArrow(_meet(threshold), "a bigint, b bigint"))
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """(region, n) of the regions of more than CROWD documents; counts are combined before they are shuffled."""
-    return cut(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
+    """(region, n) of the regions of more than about CROWD documents, n being their estimated number.
+
+    The size only decides how a region is worked on, not what is found in it; so it is estimated by the
+    documents of one residue of a hash, and counts are combined before they are shuffled.
+    """
+    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(ESTIMATE)) == 0)
+    return cut(part.groupBy("region").agg((F.count("*") * ESTIMATE).alias("n")).where(F.col("n") > CROWD))
 
 
 def _divided(hot: DataFrame, reps: DataFrame, scratch: list) -> DataFrame:
     """Rows (region, doc_id, tree) of crowded regions in regions of so much more depth that they are small."""
     small, depth = None, DEPTH
     while depth < DEEPEST and hot.limit(1).count():
-        rows = cut(hot.join(reps.select("doc_id", "sig"), "doc_id").select("region", "doc_id", "tree", "sig").mapInArrow(_deeper(depth, 2 * depth), "region bigint, doc_id bigint, tree int"))
+        # a document is in at most TREES regions; its signature is sent once
+        own = hot.groupBy("doc_id").agg(F.collect_list(F.struct("region", "tree")).alias("r")).join(reps, "doc_id")
+        rows = cut(own.select("doc_id", "sig", "r.region", "r.tree").mapInArrow(_deeper(depth, 2 * depth), "region bigint, doc_id bigint, tree int"))
         still = _crowded(rows)
         scratch += [rows, still]
         cool = rows.join(still, "region", "left_anti")
@@ -335,16 +419,20 @@ def _rest_of_crowds(hot: DataFrame, src: DataFrame, sketches: DataFrame, thresho
     documents. Pairs of documents made mostly of heavy sequences meet in the grid of their region.
     """
     ids = cut(hot.select("doc_id").distinct())
-    texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = src.join(ids, "doc_id", "left_semi")  # a row that repeats counts again, which only makes a sequence heavy sooner
     heavy = cut(texts.mapInArrow(_sequences, "sequence bigint, n bigint").groupBy("sequence").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY))
-    every = texts.mapInArrow(_exploded, "doc_id bigint, sequence bigint")
-    marked = every.join(heavy.select("sequence", F.lit(True).alias("is_heavy")), "sequence", "left")
-    # a document's rare sequences are at most its own
-    per = cut(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("is_heavy").isNull(), F.col("sequence"))).alias("rare"), F.count("is_heavy").alias("n_heavy")))
-    scratch += [ids, heavy, per]
-    rare = per.where(F.size("rare") > 0).select("doc_id", "rare").mapInArrow(_rare_regions, "region bigint, doc_id bigint")
-    near = _neighbours(rare, sketches, threshold, scratch)
-    mostly = hot.join(per.where(F.col("n_heavy") >= MOSTLY * F.size("rare")).select("doc_id"), "doc_id", "left_semi")
+    schema = "region bigint, doc_id bigint"
+    if heavy.count() <= HEAVY_KNOWN:
+        known = np.sort(np.array([r.sequence for r in heavy.select("sequence").collect()], dtype=np.int64).view(np.uint64))
+        found = cut(texts.mapInArrow(_rare_of(known), schema))
+    else:
+        marked = texts.mapInArrow(_exploded, "doc_id bigint, sequence bigint").join(heavy.select("sequence", F.lit(True).alias("is_heavy")), "sequence", "left")
+        # a document's rare sequences are at most its own
+        per = marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("is_heavy").isNull(), F.col("sequence"))).alias("rare"), F.count("is_heavy").alias("n_heavy"))
+        found = cut(per.mapInArrow(_rare_regions, schema))
+    scratch += [ids, heavy, found]
+    near = _neighbours(found.where("region is not null"), sketches, threshold, scratch)
+    mostly = hot.join(found.where("region is null").select("doc_id"), "doc_id", "left_semi")
     # the grid has as many salts as keep a cell small; each row goes to the cells of its salt
     salts = F.ceil(F.col("n") / (CROWD // 2)).cast("int")
     salted = mostly.select("region", "doc_id", salts.alias("salts"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
@@ -366,8 +454,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     signed = cut(spread(src, "doc_id").mapInArrow(_sign, "doc_id bigint, copy_key binary, sig binary"))
     first = signed.groupBy("copy_key").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "copy_key").join(first, "copy_key").select("doc_id", "rep").distinct()
-    reps = signed.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = cut(signed.select("doc_id", "copy_key").join(first, "copy_key").select("doc_id", "rep").distinct())
+    reps = cut(signed.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig"))
+    forget(signed)
     sketches = reps.select("doc_id", "sig").mapInArrow(_sketches, "doc_id bigint, sketch binary")
     rows = reps.select("doc_id", "sig").mapInArrow(_labels, "region bigint, doc_id bigint, tree int")
     crowds = _crowded(rows)
@@ -379,12 +468,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
         met = _neighbours(regions, sketches, threshold, scratch).unionByName(_rest_of_crowds(hot, src, sketches, threshold, scratch))
     else:
         met = _neighbours(rows, sketches, threshold, scratch)
-    pairs = cut(met.distinct())
-    forget(*scratch)
+    pairs = cut(met.where("a < b").distinct())
+    forget(reps, *scratch)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = src.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = src.join(ids, "doc_id", "left_semi")
     grams = cut(texts.mapInArrow(_sets, "doc_id bigint, grams binary"))
-    sure = cut(verified(pairs, grams, threshold))
+    sure = cut(verified(pairs, grams, threshold).distinct())
     forget(pairs, grams)
     return sure, members
 

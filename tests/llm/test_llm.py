@@ -212,6 +212,7 @@ def test_near_duplicates_in_crowded_regions(spark, monkeypatch, crowd, kind):
     """Boilerplate shared by all: a part of each text, most of it, or nearly all (then all pairs are similar)."""
     monkeypatch.setattr(neardup, "CROWD", crowd)
     monkeypatch.setattr(neardup, "HEAVY", crowd // 4)
+    monkeypatch.setattr(neardup, "ESTIMATE", 8 if crowd > 1000 else 1)
     rng = random.Random(11)
     fixed = " ".join(f"b{i}" for i in range(130))
     words, kept, n = {"half": (150, 100, 120), "most": (75, 20, 120), "all": (60, 0, 90)}[kind]
