@@ -130,30 +130,28 @@ def doubtful_forms(rows: list[tuple[str, str, int]]) -> dict[str, list[str]]:
 def contexts(texts: DataFrame, rows: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
     """(form, neighbour, records) of the doubtful forms and those they may stand for; the neighbour before has a space after it, the one after a space before it.
 
-    Only frequent neighbours count, so there are at most so many as (forms) x 2 x (frequent words). Built-in SQL over all texts; no job where no form is doubtful.
+    Only frequent neighbours count, so there are at most (forms) x 2 x (frequent words). No job where no form is doubtful.
     """
-    doubtful = doubtful_forms(rows)
-    if not doubtful:
+    if not doubtful_forms(rows):
         return []
-    forms = "|".join(sorted(set(doubtful) | {t for ts in doubtful.values() for t in ts}, key=lambda w: (-len(w), w)))
-    low = F.lower("text")
-    word, no = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]{1,3}"
-    around = texts.where(low.rlike(rf"(?:{forms})")).select(
-        F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{forms}){no}{word}"), F.lit(0))).alias("after"),
-        F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}{no}(?:{forms})(?![\p{{L}}\p{{N}}])"), F.lit(0))).alias("before"),
-    )
-    first, last = F.regexp_extract("x", rf"^({word})", 1), F.regexp_extract("x", rf"({word})$", 1)
-    pairs = around.select(F.explode("after").alias("x")).select(first.alias("form"), F.concat(F.lit(" "), last).alias("beside"))
-    pairs = pairs.unionByName(around.select(F.explode("before").alias("x")).select(last.alias("form"), F.concat(first, F.lit(" ")).alias("beside")))
-    n = pairs.groupBy("form", "beside").agg(F.count("*").alias("n"))
-    frequent = texts.sparkSession.createDataFrame([(w,) for w, _, _ in rows], "w string")
-    return [tuple(r) for r in n.join(frequent, F.trim("beside") == F.col("w"), "left_semi").collect()]
+
+    def run(batches):
+        lexicon = Lexicon(rows)
+        for batch in batches:
+            n: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                n.update(lexicon.around(_WORD.findall(text.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in n], pa.string()), pa.array([x for _, x in n], pa.string()), pa.array(n.values(), pa.int64())], names=["form", "beside", "n"])
+
+    counted = texts.where("text <> ''").select("text").mapInArrow(run, "form string, beside string, n bigint")
+    return [tuple(r) for r in counted.groupBy("form", "beside").agg(F.sum("n").alias("n")).collect()]
 
 
 class Lexicon:
     def __init__(self, rows: list[tuple[str, str, int]], beside: list[tuple[str, str, int]] = ()):
         self.words = {w for w, _, _ in rows}
         self.doubtful = doubtful_forms(rows)
+        self.rivals = frozenset(self.doubtful) | {t for ts in self.doubtful.values() for t in ts}
         self.beside = {(w, x): n for w, x, n in beside}
         self.ruling: dict[str, str] = {}
         self.choice: dict[str, list[str]] = {}
@@ -189,12 +187,21 @@ class Lexicon:
                 return max(others, key=lambda w: self.support(w, before, after))
         return top
 
-    def misread(self, low: str, words: set) -> bool:
-        """Whether one of the doubtful forms among the words of a text is misread there."""
-        if words.isdisjoint(self.doubtful):
-            return False
-        row = _WORD.findall(low)
-        return any(w in self.doubtful and self.meant(w, row[i - 1] if i else "", row[i + 1] if i + 1 < len(row) else "") for i, w in enumerate(row))
+    def around(self, row: list[str]) -> set[tuple[str, str]]:
+        """(form, neighbour) of the doubtful forms, and of those they may stand for, in the words of a text."""
+        out = set()
+        last = len(row) - 1
+        for i, w in enumerate(row):
+            if w in self.rivals:
+                if i and row[i - 1] in self.words:
+                    out.add((w, row[i - 1] + " "))
+                if i < last and row[i + 1] in self.words:
+                    out.add((w, " " + row[i + 1]))
+        return out
+
+    def pending(self, row: list[str]) -> list[tuple[str, str, str]]:
+        """The doubtful forms in the words of a text, each with the words beside it."""
+        return sorted({(w, row[i - 1] if i else "", row[i + 1] if i + 1 < len(row) else "") for i, w in enumerate(row) if w in self.doubtful})
 
     def true_form(self, word: str) -> str:
         """The frequent form that a lower-cased word was misread from, or ''."""
@@ -311,16 +318,18 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     return headers, pages
 
 
-def noise_of(text: str, lexicon: Lexicon) -> list[str]:
-    """The kinds of noise that occur in a text."""
+def noise_of(text: str, lexicon: Lexicon, row: list[str] | None = None) -> list[str]:
+    """The kinds of noise that occur in a text, misreadings of doubtful forms left to their neighbours if the lexicon has none. row: its words."""
     out = []
     if next(divided(text, lexicon), None):
         out.append("hyphen_break")
     form = lexicon.true_form
     words = lexicon.words
-    low = text.lower()
-    own = set(_WORD.findall(low))
-    if any(form(w) for w in own if w not in words) or any(lexicon.short_form(w.lower()) for w in set(_ALONE.findall(text))) or lexicon.misread(low, own):
+    row = _WORD.findall(text.lower()) if row is None else row
+    own = set(row)
+    if any(form(w) for w in own if w not in words) or any(lexicon.short_form(w.lower()) for w in set(_ALONE.findall(text))):
+        out.append("misread")
+    elif lexicon.beside and not own.isdisjoint(lexicon.doubtful) and any(lexicon.meant(*x) for x in lexicon.pending(row)):
         out.append("misread")
     if "\n" in text or "\f" in text:
         headers, pages = furniture(split_lines(text))
@@ -348,26 +357,57 @@ def _lexicon(texts: DataFrame) -> tuple[list[tuple], list[tuple]]:
     return rows, contexts(texts, rows)
 
 
+_JUDGED = "src string, rec_id bigint, noise_kind string, forms array<string>, befores array<string>, afters array<string>, form string, beside string, n bigint"
+
+
 def noise(texts: DataFrame) -> DataFrame:
     """texts(src, rec_id, text) -> a row (src, rec_id, noise_kind) for each kind in each record.
 
     Null, empty and blank texts have none; rows that repeat give repeated rows; whole texts
-    are read; an empty table gives an empty result; extra columns are not looked at.
+    are read; an empty table gives an empty result; extra columns are not looked at. One pass
+    counts the words. A second one judges the records and counts what stands beside the doubtful
+    forms; records whose only misreadings may be such forms wait for these counts.
     """
-    lexicon_rows = _lexicon(texts)
+    rows = [tuple(r) for r in frequent_forms(texts).collect()]
+    kinds = [pa.string(), pa.int64(), pa.string()] + [pa.list_(pa.string())] * 3 + [pa.string(), pa.string(), pa.int64()]
+    names = [f.split()[0] for f in _JUDGED.split(", ")]
 
     def run(batches):
-        lexicon = Lexicon(*lexicon_rows)
+        lexicon = Lexicon(rows)
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out, n = [], Counter()
             for src, rec, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for kind in noise_of(text, lexicon) if text else ():
-                    out[0].append(src)
-                    out[1].append(rec)
-                    out[2].append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["src", "rec_id", "noise_kind"])
+                if not text:
+                    continue
+                row = _WORD.findall(text.lower())
+                found = noise_of(text, lexicon, row)
+                out += [(src, rec, kind, None, None, None, None, None, None) for kind in found]
+                if lexicon.doubtful:
+                    n.update(lexicon.around(row))
+                    waits = lexicon.pending(row) if "misread" not in found else ()
+                    if waits:
+                        out.append((src, rec, "misread", *(list(c) for c in zip(*waits)), None, None, None))
+            out += [(None, None, None, None, None, None, f, x, k) for (f, x), k in n.items()]
+            cols = list(zip(*out)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    judged = texts.select("src", "rec_id", "text").mapInArrow(run, _JUDGED)
+    sure = lambda d: d.where("n is null and forms is null").select("src", "rec_id", "noise_kind")
+    if not doubtful_forms(rows):
+        return sure(judged)
+    judged = cut(judged)
+    # at most (forms) x 2 x (frequent words)
+    beside = [tuple(r) for r in judged.where("n is not null").groupBy("form", "beside").agg(F.sum("n").alias("n")).collect()]
+
+    def decide(batches):
+        lexicon = Lexicon(rows, beside)
+        for batch in batches:
+            waits = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))
+            hit = pa.array([any(lexicon.meant(*x) for x in zip(*w)) for w in waits], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(hit) for i in range(3)], names=names[:3])
 
-    return texts.select("src", "rec_id", "text").mapInArrow(run, "src string, rec_id bigint, noise_kind string")
+    decided = judged.where("forms is not null").mapInArrow(decide, "src string, rec_id bigint, noise_kind string")
+    return sure(judged).unionByName(decided)
 
 
 def repaired(texts: DataFrame) -> DataFrame:
