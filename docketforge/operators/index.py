@@ -11,12 +11,16 @@ def safe_id(col: Column) -> Column:
     return F.translate(col, "/\\", "__")
 
 
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the last in order; an index that is built from writes that repeat keys."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(order))).alias("__r")).select("__r.*")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Last write wins: new rows replace old ones of their key, of several new ones the last in order."""
-    last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.struct(F.col(order))).alias("__r")).select("__r.*")
+    """Last write wins: new rows replace old ones of their key, of several new ones the last in order. old is an index: it has each key once."""
     # of the old rows only keys are compared; where the new ones are few Spark broadcasts them and the old ones stay where they are
     kept = old.join(new.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(last)
+    return kept.unionByName(latest(new, key, order))
 
 
 def delete(index: DataFrame, ids: DataFrame, key: str) -> DataFrame:

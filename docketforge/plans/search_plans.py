@@ -183,7 +183,7 @@ def upsert_latest(s, d):
     r = table(s, d, "parties").select("doc_id", "party_no", "name", "ingested_at", "party_row_id")
     keyed = r.withColumn("id", F.concat_ws("/", "doc_id", "party_no"))
     old, new = keyed.where("party_row_id % 2 = 0"), keyed.where("party_row_id % 2 = 1")
-    w = index.upsert(old, new, "id", "party_row_id")
+    w = index.upsert(index.latest(old, "id", "party_row_id"), new, "id", "party_row_id")
     return w.select(index.safe_id(F.col("id")).alias("id"), "name", "party_row_id")
 
 
