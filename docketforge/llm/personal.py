@@ -242,9 +242,13 @@ class Names:
 
     def ordinary(self, low: str) -> bool:
         """Whether a word is also written in small letters, here or commonly in the corpus."""
+        if self.corpus is not None and low in self.corpus:
+            return True
+        if low not in self.s:  # as any part of the text
+            return False
         if self._small is None:
             self._small = frozenset(_SMALL_WORD.findall(self.s))
-        return low in self._small or (self.corpus is not None and low in self.corpus)
+        return low in self._small
 
     def free(self, a: int, b: int) -> bool:
         return self.taken.free(a, b) and self.places.free(a, b)
