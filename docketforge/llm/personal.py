@@ -54,7 +54,7 @@ _INITIALS = re.compile(r"(?<![\w.])[A-ZÀ-ÖØ-Þ]\.\s+(?:[A-ZÀ-ÖØ-Þ]\.\s+)?
 _MIDDLE = re.compile(r"\s+(?:[A-ZÀ-ÖØ-Þ]\.\s+)?(?:(?:de|del|la|las|los|le|van|von|der|den|di|da|du|zu|zur|ter)\s+)*(?:[OD]['’])?")
 _COMMA = re.compile(r",\s+")
 _AFTER_GIVEN = re.compile(r"\s[A-ZÀ-ÖØ-Þ]\.(?!\s*[A-ZÀ-ÖØ-Þ]\.)")
-_NO_FAMILY = frozenset("the and court county district division page case rule docket exhibit section".split())
+_NO_FAMILY = frozenset("the and court county district division page case rule docket exhibit section street avenue boulevard".split())
 #: What may stand with a capital after a title or an initial and is no family name.
 _NO_NAME = _NO_FAMILY | TRADE | frozenset(
     """no yes in of for to by at on it he she they we you this that there these those is was did do does if when where what which who why how not but or as so all any
